@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,53 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = remove_repeats(docs, length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identifiers of every text, and whether they decode to it (markers read as spaces)."""
+    import public_tokenizers
+
+    from .pieces import MARK, decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_near_dedup": op8_near_dedup}
+    return {
+        "op3_token_count": op3_token_count,
+        "op5_pieces": op5_pieces,
+        "op8_near_dedup": op8_near_dedup,
+        "op10_suffix_dedup": op10_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labels whose fold isn't held out; every document is scored."""
+    from .toxicity import fit, score
+
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    found = score(docs, fit(docs.join(labels, "doc_id").select("text", "toxic")))
+    return found.select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -62,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_count": op3_token_count,
         "op5_pieces": op5_pieces,
+        "op6_toxicity": op6_toxicity,
         "op8_near_dedup": op8_near_dedup,
         "op10_suffix_dedup": op10_suffix_dedup,
     }

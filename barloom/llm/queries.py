@@ -49,6 +49,58 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import read_pages, store_texts
+
+    stored = store_texts(_table(spark, sf_dir, "documents"))
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = read_pages(stored)
+    size = F.octet_length("pixels")
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import kd_shards
+
+    found = kd_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    found = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Host, path and action of the rules that the query applies.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,15 +126,24 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES = [
+    op2_tiff,
+    op3_token_count,
+    op4_sharding,
+    op5_pieces,
+    op6_toxicity,
+    op7_mixing,
+    op8_near_dedup,
+    op9_url_filter,
+    op10_suffix_dedup,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_token_count": op3_token_count,
-        "op5_pieces": op5_pieces,
-        "op6_toxicity": op6_toxicity,
-        "op8_near_dedup": op8_near_dedup,
-        "op10_suffix_dedup": op10_suffix_dedup,
-    }
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)

@@ -49,6 +49,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"), top=5)
+
+
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import read_pages, store_texts
 
@@ -127,6 +134,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    op1_neighbours,
     op2_tiff,
     op3_token_count,
     op4_sharding,

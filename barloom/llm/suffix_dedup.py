@@ -475,3 +475,46 @@ def remove_repeats(
     )
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
+
+
+_BLANK = frozenset(b" \t\n\v\f\r")
+
+
+def whole_words(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a run of bytes that consists of whole words."""
+    if start and data[start - 1] not in _BLANK:
+        while start < end and data[start] not in _BLANK:
+            start += 1
+    if end < len(data) and data[end] not in _BLANK:
+        while end > start and data[end - 1] not in _BLANK:
+            end -= 1
+    return start, end
+
+
+def cut_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 150, words: int = 50
+) -> DataFrame:
+    """The input's columns, the text without passages that a document with a smaller id has.
+
+    Runs of bytes that ``remove_repeats`` finds are narrowed to whole words and
+    cut if they have ``words`` or more; so texts stay valid, and shorter repeats
+    stay whole. Null texts stay null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for data, spans in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                at, kept = 0, []
+                for s in spans or ():
+                    start, end = whole_words(data, s["start"], s["end"])
+                    if len(data[start:end].split()) >= words:
+                        kept.append(data[at:start])
+                        at = end
+                texts.append(None if data is None else b"".join([*kept, data[at:]]))
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+            names = [n for n in batch.schema.names if n != "spans"]
+            yield pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names], names)
+
+    found = remove_repeats(docs, id_col, text_col, length=length).drop("kept")
+    return found.mapInArrow(run, docs.schema)

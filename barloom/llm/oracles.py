@@ -89,5 +89,27 @@ spread AS (
 SELECT page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, m.rule,
        coalesce(m.action, spread.action, 'allow') AS verdict
 FROM pages LEFT JOIN p ON p.url = pages.url LEFT JOIN m ON m.url = pages.url LEFT JOIN spread ON spread.node = p.node
+""",
+    "op8_near_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS l
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(l) < 2 THEN l ELSE list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) END AS g
+  FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+-- A linked pair shares a shingle among the rarest fifth of either set.
+f AS (SELECT g, count(*) AS c FROM x GROUP BY g),
+o AS (SELECT x.*, row_number() OVER (PARTITION BY doc_id ORDER BY c, x.g) AS r FROM x JOIN f USING (g)),
+pre AS (SELECT doc_id, g FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id),
+i AS (SELECT c.a, c.b, len(list_intersect(sa.g, sb.g)) AS n, len(sa.g) + len(sb.g) AS t
+      FROM c JOIN s sa ON sa.doc_id = c.a JOIN s sb ON sb.doc_id = c.b),
+e AS (SELECT a, b FROM i WHERE 100 * n >= 80 * (t - n)),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, t.b FROM reach r JOIN both_ t ON r.b = t.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
 """,
 }

@@ -111,5 +111,22 @@ both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, t.b FROM reach r JOIN both_ t ON r.b = t.a),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+h AS (SELECT doc_id, t, n, hex(t) AS x FROM d),
+p AS (SELECT doc_id, i, hash(substring(x, 2 * i + 1, 100)) AS g FROM h, range(0, greatest(n - 49, 0)) r(i)),
+f AS (SELECT g, min(doc_id) AS low FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM p JOIN f USING (g) WHERE doc_id > low),
+gap AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, false)::INT AS new FROM hit),
+cut AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gap),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM cut GROUP BY doc_id, k),
+kept AS (
+  SELECT h.doc_id, h.n, h.x, list(struct_pack(a := a, b := b) ORDER BY a) FILTER (WHERE a IS NOT NULL) AS s FROM h LEFT JOIN span USING (doc_id) GROUP BY ALL),
+o AS (SELECT doc_id, n, coalesce(len(s), 0) AS n_spans, coalesce(list_sum(list_transform(s, lambda z: z.b - z.a)), 0)::BIGINT AS n_removed,
+  CASE WHEN s IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(s) + 1), lambda i:
+    substring(x, (2 * CASE WHEN i = 0 THEN 0 ELSE s[i].b END + 1)::BIGINT, (2 * (CASE WHEN i = len(s) THEN n ELSE s[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE s[i].b END))::BIGINT)), '') END AS left_
+  FROM kept)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(left_)) AS kept_sha256 FROM o
 """,
 }

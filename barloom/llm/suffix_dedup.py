@@ -39,7 +39,7 @@ from .common import Scratch, utf8
 U = np.uint64
 _BYTE = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 _ROOT = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _power: dict[int, np.ndarray] = {}
 
@@ -420,7 +420,7 @@ def remove_repeats(
     text_col: str = "text",
     *,
     length: int = 50,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
     bucket_rows: int = 1 << 20,
 ) -> DataFrame:
     """The input's columns, ``spans`` (start, end bytes removed) and ``kept`` (the bytes that remain).
@@ -437,7 +437,7 @@ def remove_repeats(
     docs = docs.drop("spans", "kept")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     k = max(1, length // 3)
-    count = max(1, -(-total // block_bytes))
+    count = max(1, -(-total // (4 * block_bytes)))
     anchors = 2 * total // (length - k + 2) + 1
     job = Job(id_col, text_col, length, k, max(1, -(-anchors // bucket_rows)))
     name = f"suffix_blocks_{scratch.root.rsplit('-', 1)[-1]}"
@@ -453,9 +453,9 @@ def remove_repeats(
     grams = blocks.mapInArrow(job.grams, "bucket int, blk long, grams binary, several binary")
     asked = scratch.save(grams.groupBy("bucket").applyInArrow(lambda t: job.repeated(t), note))
     # Splitters only balance the buckets: a bounded sample of blocks gives them.
-    some = blocks.where(F.pmod(F.xxhash64("blk"), F.lit(max(1, count // 64))) == 0)
+    some = blocks.where(F.pmod(F.xxhash64("blk"), F.lit(max(1, total // block_bytes // 64))) == 0)
     leads = sorted(bytes(r[0]) for r in some.mapInArrow(job.sample, "lead binary").collect())
-    parts = max(1, -(-total // (4 * block_bytes)) * 4)
+    parts = max(1, -(-total // block_bytes))
     if leads and parts > 1:
         job.splitters = np.array([leads[i * len(leads) // parts] for i in range(1, parts)], f"S{job.lead}")
     sent = (

@@ -14,6 +14,8 @@ enumerated: the most central nodes act as pivots, every member is held against
 them, and what one component already joins is not compared again. Pivots whose
 pairs are all settled leave the key, and the number of pivots for a key grows
 geometrically until nothing unsettled is left, so no candidate is ever dropped.
+Members of a large group that can only be linked through what its pivot lacks
+meet by that instead (see ``_referred``).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, slices, utf8
@@ -166,6 +168,59 @@ def _sets(size: int):
     return run
 
 
+def _reaches(common: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets with ``sizes`` rows in all and ``common`` ones reach the threshold."""
+    return (100 + percent) * common >= percent * sizes
+
+
+def _unreferred() -> list[Column]:
+    return [F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("common"), F.lit(False).alias("free")]
+
+
+def _mixed(live: DataFrame) -> DataFrame:
+    """Rows of keys whose nodes are of several components."""
+    mixed = live.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
+    return live.join(mixed.select("key"), "key", "left_semi").select(*live.columns)
+
+
+def _referred(live: DataFrame, checked: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """What is left to compare after the first pivots, without squaring large groups.
+
+    Let x and y have the reference p. What they share lies in p, where it is
+    at most what either shares with p, or outside p. If the former can't reach
+    the threshold, they can only be linked if they share a shingle outside p.
+    So a node for which this holds with every other in a key, all having one
+    reference, leaves that key; and nodes get keys for their shingles outside
+    their reference.
+    """
+    refs = checked.where("rest is not null").select("node", F.col("pivot").alias("ref"), "common", "rest")
+    live = scratch.save(_mixed(live))
+    refs = scratch.save(refs.join(live.select("node").distinct(), "node"))
+    outside = scratch.save(refs.select("ref", "node", F.explode("rest").alias("s")))
+    # What most of a reference's nodes have joins the reference, for the bound holds for any set.
+    size = refs.groupBy("ref").agg(F.count("*").alias("m"))
+    shared = outside.groupBy("ref", "s").agg(F.count("*").alias("c")).where("c > 1").join(size, "ref")
+    shared = scratch.save(shared.select("ref", "s", (2 * F.col("c") > F.col("m")).alias("most")))
+    outside = scratch.save(outside.join(shared, ["ref", "s"]))
+    more = outside.where("most").groupBy("node").agg(F.count("*").cast("int").alias("more"))
+    refs = refs.join(more, "node", "left").select("node", "ref", (F.col("common") + F.coalesce("more", F.lit(0))).alias("common"))
+    live = scratch.save(live.drop("ref", "common").join(refs, "node", "left").select(*live.columns))
+    group = live.groupBy("key").agg(
+        (F.min("ref") == F.max("ref")).alias("one"),
+        (F.count("ref") == F.count("*")).alias("all"),
+        F.min("n").alias("least"),
+    )
+    alike = F.coalesce(F.col("one") & F.col("all"), F.lit(False))
+    open_ = live.join(group, "key").where(~alike | _reaches(F.col("common"), F.col("n") + F.col("least"), percent))
+    free = (
+        outside.where("not most")
+        .select(F.xxhash64("ref", "s").alias("key"), "node")
+        .join(nodes.select("node", "central", "n", "label"), "node")
+        .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"))
+    )
+    return scratch.save(open_.select(*live.columns).unionByName(free))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -208,60 +263,75 @@ def near_duplicates(
     chosen = nodes.where("central is not null").select(F.col("first").alias("id"))
     sets = scratch.save(docs.join(chosen, "id").select("text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
 
-    known = nodes.select("node", "central", "n")
-    index = index.select("key", "node")
-    live = scratch.save(index.join(known.where("central is not null"), "node").withColumn("label", F.col("node")))
-    links = tested = labels = None
-    salts = 1
+    nodes = nodes.withColumn("label", F.col("node"))
+    live = scratch.save(
+        index.select("key", "node")
+        .join(nodes.where("central is not null").select("node", "central", "n", "label"), "node")
+        .select("key", "node", "central", "n", "label", *_unreferred())
+    )
+    tested, salts = None, 1
     while not live.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts))
+        of = {"node": "pivot", "n": "pn", "label": "plabel", "ref": "pref", "common": "pcommon", "central": "pcentral"}
         pivots = scratch.save(
             live.groupBy("key", salt.alias("salt"))
-            .agg(F.max(F.struct("central", "node", "n", "label")).alias("p"))
-            .select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
+            .agg(F.max(F.struct("central", "node", "n", "label", "ref", "common")).alias("p"))
+            .select("key", *(F.col(f"p.{k}").alias(v) for k, v in of.items()))
         )
+        # Only pairs that can reach the threshold: by their sizes, and by what they share with a common reference.
         near = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
+        apart = (F.col("ref") == F.col("pref")) & ~_reaches(F.least("common", "pcommon"), F.col("n") + F.col("pn"), percent)
         pairs = (
             live.join(pivots, "key")
-            .where((F.col("label") != F.col("plabel")) & near)
-            .select(
-                F.least("node", "pivot").alias("a"),
-                F.greatest("node", "pivot").alias("b"),
-            )
-            .distinct()
+            .where((F.col("label") != F.col("plabel")) & near & (F.col("free") | ~F.coalesce(apart, F.lit(False))))
+            .select("node", "pivot", "label", "plabel", "pcentral")
         )
+        first = salts == 1
+        if not first:
+            # One row for a pair, whichever of the two is the pivot.
+            turn = F.col("node") > F.col("pivot")
+            swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x)
+            pairs = pairs.select(swap("node", "pivot"), F.greatest("node", "pivot").alias("pivot"), swap("label", "plabel"), F.when(turn, F.col("label")).otherwise(F.col("plabel")).alias("plabel"))
+        pairs = pairs.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["node", "pivot"], "left_anti")
         pairs = scratch.save(pairs)
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        asked = pairs
+        if first:
+            # A node's reference is the most central pivot that it meets.
+            best = pairs.groupBy("node").agg(F.max(F.struct("pcentral", "pivot")).alias("best"))
+            asked = pairs.join(best.select("node", F.col("best.pivot").alias("ref")), "node")
+        one = sets.select("node", F.col("shingles").alias("sa"))
+        two = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sb"))
+        checked = asked.join(one, "node").join(two, "pivot")
+        if first:
+            rest = F.when(F.col("ref") == F.col("pivot"), F.array_except("sa", "sb"))
+        else:
+            rest = F.lit(None).cast("array<long>")
         both = F.size(F.array_intersect("sa", "sb"))
-        linked = scratch.save(
-            pairs.join(one, "a")
-            .join(two, "b")
-            .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-            .select("a", "b")
-            .distinct()
+        checked = scratch.save(
+            checked.select(
+                "node", "pivot", "label", "plabel", both.alias("common"), rest.alias("rest"),
+                _reaches(both, F.size("sa") + F.size("sb"), percent).alias("linked"),
+            )
         )
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = linked if links is None else links.unionByName(linked)
-        if not linked.isEmpty():
-            labels = connected_components(links, scratch)
-            labels = scratch.save(labels.select(F.col("id").alias("node"), F.col("component").alias("label")))
-        rest = live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").drop("label")
-        rest = rest if labels is None else rest.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        rest = rest.withColumn("label", label)
-        mixed = rest.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        old, live = live, scratch.save(rest.join(mixed, "key", "left_semi").select(*live.columns))
+        done = pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
+        tested = done if tested is None else tested.unionByName(done)
+        links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b")).distinct()
+        left = live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        if not links.isEmpty():
+            joined = connected_components(links, scratch).select(F.col("id").alias("label"), "component")
+            joined = scratch.save(joined)
+            relabel = F.coalesce("component", "label").alias("label")
+            left = left.join(joined, "label", "left").select("key", "node", "central", "n", relabel, "ref", "common", "free")
+            nodes = scratch.save(nodes.join(joined, "label", "left").select("node", "first", "n", "central", relabel))
+        if first:
+            left = _referred(left, checked, nodes, percent, scratch)
+        old, live = live, scratch.save(_mixed(left))
         scratch.drop(old)
-        salts *= 8
+        salts *= 16
 
-    label = F.col("node")
-    if labels is not None:
-        nodes = nodes.join(labels, "node", "left")
-        label = F.coalesce("label", "node")
-    nodes = nodes.select("node", label.alias("label"), "first")
+    nodes = nodes.select("node", "label", "first")
     least = scratch.save(nodes.groupBy("label").agg(F.min("first").alias("component")))
     component = scratch.save(nodes.join(least, "label").select("node", "component"))
     out = member.join(component, "node", "left")

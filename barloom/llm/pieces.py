@@ -14,6 +14,7 @@ path stays finite, and it is the one that merging the whole word ends in.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-MARK = "▁"
-_CACHE = 400_000
+MARK, BARE = "▁", "\0"
+_CACHE, _PAIRS = 300_000, 600_000
+START, ALONE = 1 << 30, (1 << 30) + 1  # stand for no piece: a word's start, a character without a piece
 _NONE = float("-inf")
 
 
@@ -63,7 +65,9 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.lowest = min(self.score.values()) - 10
         self.words = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.text = {i: p for p, i in self.id.items()}
+        self.backward = self._trie() if self.bpe else {}
+        self.stable: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -80,70 +84,94 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives just a and b (a empty: just b)."""
-        known = self.stable.get((a, b))
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether merging the joined text of pieces a and b gives just these (a at START or ALONE: just b)."""
+        known = self.stable.get(a << 32 | b)
         if known is None:
-            if len(self.stable) >= 2_000_000:
+            if len(self.stable) >= _PAIRS:
                 self.stable.clear()
-            known = self.stable[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            right = self.text[b]
+            left = [self.text[a]] if a < START else []
+            known = self.stable[a << 32 | b] = self.merged("".join((*left, right))) == [*left, right]
         return known
 
-    def _step(self, word: str, i: int, last: list[str], best: list[float]) -> None:
-        """The forward state at i: the last piece of the best path to i, and its score."""
-        found, top = "", _NONE
-        if self.bpe:
-            # Every prefix has one stable path; a character without a piece stands alone.
-            for j in range(max(0, i - self.longest), i - 1):
-                t = word[j:i]
-                if t in self.id and best[j] > _NONE and self.neighbours(last[j], t):
-                    found, top = t, 0.0
-                    break
-            else:
-                found, top = word[i - 1], 0.0
-        else:
-            for j in range(max(0, i - self.longest), i):
-                t = word[j:i]
-                s = self.score.get(t, self.lowest if j == i - 1 else _NONE)
-                if best[j] + s > top:
-                    found, top = t, best[j] + s
-        last[i:], best[i:] = [found], [top]
-
-    def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """Pieces of each word; the words are taken in sorted order."""
-        out, before = {}, ""
-        last, best = [""], [0.0]
+    def _trie(self) -> dict:
+        """Pieces by their characters from the last to the first; the empty key holds a piece's identifier."""
+        root: dict = {}
+        for piece, i in self.id.items():
+            node = root
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
+        return root
+
+    def _stable_step(self, word: str, i: int, last: list[int], start: list[int]) -> None:
+        """Extends the stable path to i: every prefix has one; a character that no piece covers stands alone."""
+        node, j, stable = self.backward, i, self.stable
+        while j:
+            j -= 1
+            node = node.get(word[j])
+            if node is None:
+                break
+            t = node.get("")
+            if t is not None and j < i - 1:
+                ok = stable.get(last[j] << 32 | t)
+                if ok or ok is None and self.neighbours(last[j], t):
+                    last.append(t)
+                    start.append(j)
+                    return
+        last.append(self.id.get(word[i - 1], ALONE))
+        start.append(i - 1)
+
+    def _best_step(self, word: str, i: int, best: list[float], start: list[int]) -> None:
+        """Extends the best path to i by the piece with the greatest sum of scores."""
+        top, at = _NONE, i - 1
+        for j in range(max(0, i - self.longest), i):
+            s = best[j] + self.score.get(word[j:i], self.lowest if j == i - 1 else _NONE)
+            if s > top:
+                top, at = s, j
+        best.append(top)
+        start.append(at)
+
+    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+        """Identifiers of each word; the words are taken in sorted order and share the states of common prefixes."""
+        out, before, start = {}, "", [0]
+        state, step = ([START], self._stable_step) if self.bpe else ([0.0], self._best_step)
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], best[same + 1 :]
+            del state[same + 1 :], start[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                self._step(word, i, last, best)
+                step(word, i, state, start)
             path, i = [], len(word)
             while i:
-                path.append(last[i])
-                i -= len(last[i])
-            out[word] = path[::-1]
+                j = start[i]
+                t = state[i] if self.bpe else self.id.get(word[j:i], ALONE)
+                path += (t,) if t < START else self._missing(word[j:i])
+                i = j
+            path.reverse()
+            out[word] = path
             before = word
         return out
 
-    def ids(self, pieces: list[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.fallback:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+    def _missing(self, text: str) -> list[int]:
+        """Identifiers, last first, of a character that has no piece: its bytes, or the unknown piece."""
+        return [self.byte[b] for b in reversed(text.encode())] if self.fallback else [self.unknown]
 
     def marked(self, text: str) -> list[str]:
+        """The words of a text. A word with one marker goes without it; others keep theirs, an unmarked one gets BARE."""
         if not text:
             return []
-        return self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        if self.prefix and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        words = self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        plain = lambda w: w[1:] if w[:1] == MARK and w[1:2] not in ("", MARK) else w if w[0] == MARK else BARE + w
+        return [plain(w) for w in words]
+
+    @staticmethod
+    def _whole(word: str) -> str:
+        return word if word[0] == MARK else word[1:] if word[0] == BARE else MARK + word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The identifiers of each text, as little-endian int32."""
@@ -151,12 +179,13 @@ class Pieces:
         if len(self.cache) > _CACHE:
             self.cache.clear()
         cache = self.cache
-        new = set().union(*split).difference(cache)
-        for word, path in self.encode_words(list(new)).items():
-            cache[word] = np.array(self.ids(path), "<i4").tobytes()
+        new = {self._whole(w): w for w in set().union(*split).difference(cache)}
+        for word, ids in self.encode_words(list(new)).items():
+            cache[new[word]] = struct.pack(f"<{len(ids)}i", *ids)
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        for word in [w for w in new if len(w) > 64]:
-            del cache[word]
+        for word in new.values():
+            if len(word) > 64:
+                del cache[word]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -181,7 +210,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", *, ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for batch in batches:
-            for piece in slices(batch, 4 << 20, text_col):
+            for piece in slices(batch, 2 << 20, text_col):
                 found = model.encode([t or "" for t in piece.column(text_col).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -201,8 +230,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", *, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 lists = (x.values.to_pylist() if x.is_valid else [] for x in piece.column(ids_col))
                 texts = pa.array([model.decode(x).decode("utf-8", "replace") for x in lists], pa.string())
                 yield pa.RecordBatch.from_arrays([*piece.columns, texts], [*piece.schema.names, text_col])

@@ -19,7 +19,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    found = score(docs, fit(docs.join(labels, "doc_id").select("text", "toxic")))
+    found = score(docs, fit(docs, labels))
     return found.select(
         "doc_id",
         F.coalesce(held, F.lit(False)).alias("held_out"),

@@ -15,6 +15,7 @@ similarity 0 to it by definition; so only few pairs need the recursion.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -240,16 +241,17 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 100.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the probability of label 1, by smoothed targets."""
+def _platt(margin: np.ndarray, y: np.ndarray, toxic: float) -> tuple[float, float]:
+    """Slope and shift of the probability of label 1, which a share ``toxic`` of all texts have; by smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(y > 0, toxic / max(1, pos), (1 - toxic) / max(1, neg)) * len(y)
     a, b = 1.0, 0.0
     z = np.stack([margin, np.ones(len(margin))], axis=1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        grad = z.T @ (p - target)
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
+        grad = z.T @ (weight * (p - target))
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
         step = np.linalg.solve(h, grad)
         step = step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         a, b = a - step[0], b - step[1]
@@ -258,17 +260,39 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *, sample: int = 6000, landmarks: int = 64) -> Model | None:
-    """A model from labelled texts; None without rows of both labels.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *,
+    sample: int = 3000, landmarks: int = 64,
+) -> Model | None:
+    """A model from documents and their labels (id, 0 or 1); None without texts of both labels.
 
-    At most ``sample`` rows of each label are taken, by the order of a hash of
-    the text; the fit on them runs on the driver.
+    At most ``sample`` labelled ids of each label are used, the first by a hash
+    of the id; so the join that fetches their texts has a bounded side, and the
+    fit runs in one task. Equal texts count once; an id that repeats counts with
+    its least text.
     """
-    spread = F.xxhash64(text_col, F.lit(6))
-    texts = [
-        [r[0] for r in labelled.where(F.col(label_col) == v).select(text_col).distinct().orderBy(spread, text_col).limit(sample).collect()]
-        for v in (1, 0)
-    ]
+    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)")
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+    if not counts.get(0) or not counts.get(1):
+        return None
+    share = counts[1] / (counts[0] + counts[1])
+    order = F.xxhash64("id", F.lit(6))
+    chosen = [labels.where(F.col("label") == v).orderBy(order, "id").limit(sample) for v in (1, 0)]
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        labels, texts = table.column("label").to_pylist(), table.column("text").to_pylist()
+        sides = [sorted({t or "" for t, y in zip(texts, labels, strict=True) if y == v}) for v in (1, 0)]
+        return pa.table({"model": pa.array([pickle.dumps(fitted(sides, landmarks, share))], pa.binary())})
+
+    found = rows.groupBy().applyInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else None
+
+
+def fitted(texts: list[list[str]], landmarks: int, share: float) -> Model | None:
+    """A model from toxic and other texts; ``share`` of all labelled texts are toxic."""
     pos, neg = (Counter(w for t in side for w in candidates(tokens(t) if t else set())) for side in texts)
     np_, nn = map(len, texts)
     if not np_ or not nn:
@@ -280,19 +304,20 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *
         return None
     model = Model(chosen)
     memo = Memo()
-    bags = [[tokens(t) if t else set() for t in side] for side in texts]
-    every = lambda side: [model.bags(side[i : i + 256], memo) for i in range(0, len(side), 256)]
-    x = every(bags[0])
+    toxic = [tokens(t) if t else set() for t in texts[0]]
+    every = lambda bags: [model.bags(bags[i : i + 256], memo) for i in range(0, len(bags), 256)]
+    x = every(toxic)
     # A toxic text stays toxic with one telling token only, and with that one disguised.
     fewer = []
-    for bag in bags[0]:
+    for bag in toxic:
         hits = sorted(t for t in bag & memo.known.keys() if memo.known[t][1].max() > 0.7)
         if hits:
             one = hits[zlib.crc32(" ".join(hits).encode()) % len(hits)]
             fewer += [bag.difference(hits) | {t} for t in (one, disguised(one))[: 1 + (zlib.crc32(one.encode()) + len(bag)) % 4 // 3]]
     more = every(fewer)
     y = np.concatenate([np.ones(np_ + len(fewer)), np.zeros(nn)])
-    x = np.concatenate([*x, *more, *every(bags[1])]).astype(np.float64)
+    clean = [model.features(texts[1][i : i + 256], memo) for i in range(0, nn, 256)]
+    x = np.concatenate([*x, *more, *clean]).astype(np.float64)
     # Nyström: whiten by the kernel matrix of the landmarks.
     c = model.codes
     gram = np.stack([kernel(np.broadcast_to(c[i], c.shape), c) for i in range(len(c))]).astype(np.float64)
@@ -302,7 +327,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *
     w, bias = _machine(x @ white, y)
     model.weights, model.bias = white @ w, bias
     margin = x @ model.weights + bias
-    model.slope, model.shift = _platt(margin, y)
+    model.slope, model.shift = _platt(margin, y, share)
     return model
 
 

@@ -349,7 +349,8 @@ def test_toxicity(spark):
             words.insert(int(rng.integers(0, len(words))), str(rng.choice(["idiot", "moron", "worthless", "clown"])))
         rows.append((i, " ".join(words), int(i % 4 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = fit(docs.where("doc_id % 5 <> 0"))
+    labels = docs.where("doc_id % 5 <> 0").select("doc_id", "toxic")
+    model = fit(docs, labels)
     got = score(docs.where("doc_id % 5 = 0"), model).collect()
     assert all((r.score >= 0.3) == bool(r.toxic) for r in got)
     other = odd(spark, [None, "", "x" * 5000, "what an idiiot", "an id.iot", "the quiet morning", TOXIC, TOXIC + " river" * 30_000])
@@ -358,7 +359,7 @@ def test_toxicity(spark):
     assert all(0 <= x <= 1 for x in p)
     assert p[0] == p[1] and p[0] < 0.3 and p[5] < 0.3
     assert min(p[3], p[6], p[7]) >= 0.3
-    assert fit(docs.limit(0)) is None and fit(docs.where("toxic = 0")) is None
+    assert fit(docs, labels.limit(0)) is None and fit(docs, labels.where("toxic = 0")) is None and fit(docs.limit(0), labels) is None
     assert [r.score for r in score(docs.limit(2), None).collect()] == [0.0, 0.0]
 
 

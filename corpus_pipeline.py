@@ -27,9 +27,8 @@ REPEAT_BYTES, REPEAT_WORDS = 150, 50
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under REJECT by a model fitted on all labelled texts."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
-    return score(docs, model, score_col="__score").where(F.col("__score") < REJECT).drop("__score")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(docs, fit(docs, labels), score_col="__score").where(F.col("__score") < REJECT).drop("__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

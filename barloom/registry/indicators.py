@@ -130,7 +130,7 @@ window(
     {"v": full(14, f"regr_intercept(close, bar_index) {over(14)} + regr_slope(close, bar_index) {over(14)} * (bar_index - 2)")},
     digits=5,
 )
-window("vwma", lambda C, O, H, L, V: {"v": T.vwma(C, V, 10)}, {"v": full(10, f"sum(close * volume) {over(10)} / sum(volume) {over(10)}")})
+window("vwma", lambda C, O, H, L, V: {"v": T.vwma(C, V, 10)}, {"v": full(10, f"sum(close * volume) {over(10)} / sum(volume) {over(10)}")}, digits=9)
 
 # --- oscillators ---
 

@@ -49,13 +49,13 @@ def _r(c, digits=6):
 
 @query(
     """SELECT l_returnflag || l_linestatus AS symbol, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_shipdate) - 1 AS bar_index,
-  round(avg(l_extendedprice), 4) AS close, max(l_extendedprice) AS high, min(l_extendedprice) AS low, round(sum(l_quantity), 4) AS volume
+  round(avg(l_extendedprice), 8) AS close, max(l_extendedprice) AS high, min(l_extendedprice) AS low, round(sum(l_quantity), 4) AS volume
 FROM lineitem GROUP BY l_returnflag || l_linestatus, l_shipdate"""
 )
 def bars_daily(spark, sf_dir):
     facts = _table(spark, sf_dir, "lineitem")
     bars = daily(facts, F.concat("l_returnflag", "l_linestatus"), "l_shipdate", "l_extendedprice", "l_quantity")
-    return bars.select("symbol", "bar_index", _r("close", 4).alias("close"), "high", "low", _r("volume", 4).alias("volume"))
+    return bars.select("symbol", "bar_index", _r("close", 8).alias("close"), "high", "low", _r("volume", 4).alias("volume"))
 
 
 @query(

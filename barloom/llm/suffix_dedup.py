@@ -299,11 +299,11 @@ class Job:
                 s = runs.start[i]
                 digest = hashlib.blake2b(block.data[s : s + self.length].tobytes(), digest_size=8).digest()
                 runs.content[i] = int.from_bytes(digest, "little")
-            lo = lo + np.where(hot, (runs.content >> U(17)) % np.maximum(hi - lo, 1).astype(U), 0).astype(np.int64)
-        else:
-            lo = hi
+            dealt = lo + ((runs.content >> U(17)) % np.maximum(hi - lo, 1).astype(U)).astype(np.int64)
+            # Other keys go where they go in a block without a hot one.
+            hi = np.where(hot, dealt, hi)
         _, first, which = np.unique(runs.content, return_index=True, return_inverse=True)
-        part = lo[first]
+        part = hi[first]
         by = np.argsort(part, kind="stable")
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))

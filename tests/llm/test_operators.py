@@ -124,6 +124,20 @@ def test_hot_leading_key_is_cut_into_windows(spark):
     assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 50)
 
 
+def test_buckets_do_not_depend_on_the_block(spark):
+    from barloom.llm.suffix_dedup import remove_repeats
+
+    line = "this very common line stands in the first half of the table only, word for word"
+    rng = np.random.default_rng(2)
+    make = lambda n: "".join(rng.choice(list("klmnop"), n))
+    shared = [make(60) for _ in range(150)]
+    # Hot lines only in the blocks of the first half; every other passage once in each half.
+    texts = [make(20) + line + make(20) + s + make(20) for s in shared] + [make(60) + s + make(60) for s in shared]
+    docs = odd(spark, texts).repartitionByRange(2, "doc_id")
+    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, block_bytes=900, bucket_rows=200).collect()}
+    assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 50)
+
+
 def test_repeats_without_ids_and_passages(spark):
     from barloom.llm.suffix_dedup import cut_passages, remove_repeats
 

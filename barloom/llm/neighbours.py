@@ -6,7 +6,10 @@ neighbours of neighbours: every node gathers the nodes that are its neighbours
 or have it as theirs, compares them with each other, and offers each one the
 others that beat its present list. Queries walk the graph greedily: they start
 at a block's members and keep expanding the best nodes not yet expanded until
-the beam no longer changes. Scores are the cosines of the original vectors in
+the beam no longer changes. A sample of the queries is compared with every node;
+while the walk misses too many of the sample's neighbours, the beam doubles and
+the walk goes on, and where a walk could meet every node, all queries are
+compared with all nodes. Scores are the cosines of the original vectors in
 double precision.
 """
 
@@ -181,6 +184,8 @@ def search(
     cell: int = 256,
     beam: int = 48,
     expand: int = 8,
+    recall: float = 0.95,
+    probes: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``top`` nearest found, nearest first.
 
@@ -191,6 +196,10 @@ def search(
     share a node and are found by their smallest ids; rows that repeat an id
     count once for each distinct vector. Vectors of other lengths than the
     commonest raise an error. Empty tables give an empty result.
+
+    ``beam`` is where the walk begins; it grows until ``probes`` sampled queries
+    find the share ``recall`` of their neighbours by brute force. ``rounds``
+    counts for tables up to 2,048 vectors; every doubling allows one more.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -220,6 +229,7 @@ def search(
         return empty
     if facts.hi != facts.lo:
         raise ValueError("vectors differ in length")
+    rounds += max(0, int(np.ceil(np.log2(facts.n))) - 11)
     graph, planes = build(nodes, facts.n, facts.hi, scratch, k=k, sample=sample, rounds=rounds, trees=trees, cell=cell)
     # Search goes along edges in both directions, a node's most similar ones first.
     both = graph.select("src", "dst", "sim").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
@@ -256,6 +266,11 @@ def search(
     anywhere = asked.select(F.col("id").alias("query"), F.explode(F.array(*map(F.lit, anyone))).alias("node"))
     units = scratch.save(asked_codes.where("tree = 0").select("query", "q"))
     found = scratch.save(_scored(begin.unionByName(anywhere).distinct(), nodes, units).withColumn("done", F.lit(False)))
+    own = asked.select(F.col("id").alias("query"), F.xxhash64("v").alias("node"))
+    probe = asked.select("id").distinct().orderBy(F.xxhash64("id")).limit(probes).select(F.col("id").alias("query"))
+    truth = _nearest(units.join(F.broadcast(probe), "query"), nodes, top + 1).join(own, ["query", "node"], "left_anti")
+    truth = scratch.save(_first(truth, top).select("query", "node"))
+    wanted = truth.count()
     while True:
         w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
         ranked = found.withColumn("r", F.row_number().over(w))
@@ -263,7 +278,15 @@ def search(
         ready = ranked.where((F.col("r") <= beam) & ~F.col("done")).withColumn("p", F.row_number().over(front)).where(F.col("p") <= expand)
         ready = scratch.save(ready.select("query", "node"))
         if ready.isEmpty():
-            break
+            if truth.join(found.select("query", "node"), ["query", "node"], "left_semi").count() >= recall * wanted:
+                break
+            beam, expand = 2 * beam, 2 * expand
+            if 2 * k * beam >= facts.n:
+                old, found = found, scratch.save(_first(_nearest(units, nodes, beam), beam))
+                scratch.drop(old, ready)
+                break
+            scratch.drop(ready)
+            continue
         reached = ready.join(ways, F.col("node") == F.col("src")).select("query", F.explode("next").alias("node")).distinct()
         new = reached.join(found.select("query", "node"), ["query", "node"], "left_anti")
         scored = _scored(new, nodes, units).withColumn("done", F.lit(False))
@@ -296,6 +319,47 @@ def search(
     )
 
 
+def _first(found: DataFrame, n: int) -> DataFrame:
+    """The n most similar nodes of each query."""
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
+def _nearest(units: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(query, node, sim): by brute force, at least the n most similar nodes of each query.
+
+    Queries and nodes meet in packs, so a pack's pairs are one matrix product.
+    """
+
+    def packed(frame: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    x = _matrix(part.column(vector), np.float32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.column(key).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [key, vector]
+                    )
+
+        return frame.select(key, vector).mapInArrow(run, f"{key} binary, {vector} binary")
+
+    def run(batches):
+        for batch in batches:
+            for ids, us, queries, qs in zip(*(batch.column(c) for c in ("node", "u", "query", "q")), strict=True):
+                ids, queries = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, queries))
+                u, q = (np.frombuffer(x.as_buffer(), np.float32).reshape(len(i), -1) for x, i in ((us, ids), (qs, queries)))
+                s = q @ u.T
+                m = min(n, len(ids))
+                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(queries, m)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())],
+                    ["query", "node", "sim"],
+                )
+
+    pairs = packed(nodes, "node", "u", 4096).crossJoin(packed(units, "query", "q", 256))
+    return pairs.mapInArrow(run, "query long, node long, sim float")
+
+
 def _scored(pairs: DataFrame, nodes: DataFrame, units: DataFrame) -> DataFrame:
     """(query, node, sim) of pairs, in single precision, to steer the walk."""
 

@@ -349,6 +349,23 @@ def test_neighbours(spark):
     assert search(vectors.limit(0), vectors).count() == 0
 
 
+def test_neighbours_widen_until_found(spark):
+    from barloom.llm.neighbours import search
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 48))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # A beam too small for the table has to grow by itself.
+    got = search(vectors, vectors.where("vec_id % 100 = 0"), k=8, sample=4, rounds=2, trees=1, cell=64, beam=6).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 100):
+        s = u[q] @ u.T
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5]) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * 5 * 30
+
+
 # --- toxicity ---
 
 

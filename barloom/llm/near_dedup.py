@@ -131,8 +131,10 @@ def _signed(size: int, index: Index):
                 sets = shingle_sets(utf8(piece.column("text")), size)
                 nodes = [_node(s) if len(s) else None for s in sets]
                 fresh = []
+                # Rows without an id leave a set's keys to those that have one.
+                known = piece.column("id").is_valid().to_pylist()
                 for i, n in enumerate(nodes):
-                    if n is not None and n not in seen:
+                    if n is not None and known[i] and n not in seen:
                         if len(seen) >= 1 << 20:
                             seen.clear()
                         seen.add(n)

@@ -89,6 +89,16 @@ def test_near_duplicates_without_ids_and_rows(spark):
 # --- repeats ---
 
 
+def test_sets_first_met_without_an_id(spark):
+    from barloom.llm.near_dedup import near_duplicates
+
+    words = [f"w{i}" for i in range(80)]
+    near = " ".join([*words, "more"])
+    rows = spark.createDataFrame([(None, near), (7, near), (3, " ".join(words))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(rows).collect()}
+    assert got == {None: (None, True), 7: (3, False), 3: (3, True)}
+
+
 def brute_repeats(rows, length):
     seen, out = {}, {}
     for i, t in sorted(rows):

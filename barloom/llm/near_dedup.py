@@ -150,8 +150,9 @@ def _signed(size: int, index: Index):
                         pa.array(map(len, sets), pa.int64()),
                         pa.array(nodes, pa.int64()),
                         _lists(keys),
+                        piece.column("mark"),
                     ],
-                    ["id", "n", "node", "keys"],
+                    ["id", "n", "node", "keys", "mark"],
                 )
 
     return run
@@ -232,6 +233,7 @@ def near_duplicates(
     percent: int = 80,
     chunks: int = 12,
     width: int = 6,
+    details: bool = False,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each input row.
 
@@ -245,15 +247,18 @@ def near_duplicates(
     alone. A null id takes no part in links: its component is null and it is
     kept. Rows that repeat an id are judged each by its own text, so equal rows
     get equal results. An empty input gives an empty result; further columns
-    are ignored.
+    are ignored. With ``details`` each row also has ``mark``, the xxhash64 of
+    its text, and ``group``, which tells components apart that have one least
+    id (null for empty sets and null ids).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = docs.withColumn("mark", F.xxhash64("text"))
     read = scratch.save(
-        docs.mapInArrow(_signed(shingle, Index(chunks, width)), "id long, n long, node long, keys array<long>")
+        marked.mapInArrow(_signed(shingle, Index(chunks, width)), "id long, n long, node long, keys array<long>, mark long")
     )
-    member = read.select("id", "n", "node")
+    member = read.select("id", "n", "node", "mark")
     index = read.where("id is not null").select(F.explode("keys").alias("key"), "node").distinct()
     crowd = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     index = scratch.save(index.join(crowd, "key"))
@@ -335,7 +340,7 @@ def near_duplicates(
 
     nodes = nodes.select("node", "label", "first")
     least = scratch.save(nodes.groupBy("label").agg(F.min("first").alias("component")))
-    component = scratch.save(nodes.join(least, "label").select("node", "component"))
+    component = scratch.save(nodes.join(least, "label").select("node", "component", "label"))
     out = member.join(component, "node", "left")
     found = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     scratch.drop(sets)
@@ -344,4 +349,5 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         found.alias("component_id"),
         F.coalesce(found == F.col("id"), F.lit(True)).alias("kept"),
+        *([F.col("mark"), F.when(F.col("id").isNotNull(), F.col("label")).alias("group")] if details else []),
     )

@@ -34,12 +34,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    Rows that repeat a kept id leave one; rows with a null id stay.
+    Decisions hold by id and text: rows that repeat both leave one, rows that
+    repeat an id with another text are judged apart; rows with a null id stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    found = near_duplicates(docs.select("doc_id", "text"), details=True).where("kept and doc_id is not null")
+    alone = F.when(F.col("group").isNull(), F.col("mark"))
+    kept = found.groupBy("doc_id", "group", alone).agg(F.min("mark").alias("__mark")).select("doc_id", "__mark").distinct()
+    w = Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0))
+    known = docs.withColumn("__mark", F.xxhash64("text")).join(kept, ["doc_id", "__mark"], "left_semi")
+    known = known.withColumn("__r", F.row_number().over(w)).where("__r = 1")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -428,6 +428,17 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
+def test_pipeline_judges_texts_of_one_id_apart(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (5, b + " more"), (6, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sum(x == (5, b) or x == (5, b + " more") for x in got) == 1
+    assert sorted(x for x in got if x[1] and "b1" not in x[1]) == [(1, a), (5, c)]
+    assert {x[1] for x in got if x[0] == 6} == {None, ""} and len(got) == 5
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

@@ -21,8 +21,9 @@ from barloom.llm.toxicity import fit, score
 
 #: Score from which a document is rejected.
 REJECT = 0.5
-#: Repeats are found by strings of so many bytes; runs of at least so many words are cut.
-REPEAT_BYTES, REPEAT_WORDS = 150, 50
+#: Runs of at least so many words are cut; repeats are found by strings of the least bytes that such a run has.
+REPEAT_WORDS = 50
+REPEAT_BYTES = 2 * REPEAT_WORDS - 1
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

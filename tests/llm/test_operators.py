@@ -439,6 +439,14 @@ def test_pipeline_judges_texts_of_one_id_apart(spark):
     assert {x[1] for x in got if x[0] == 6} == {None, ""} and len(got) == 5
 
 
+def test_pipeline_cuts_passages_of_short_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    passage = " ".join("abcdefghijklmnopqrstuvwxyz"[i * i % 26] for i in range(50))
+    docs = spark.createDataFrame([(1, f"first text {passage} end"), (2, f"other one {passage} tail")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert passage in got[1] and passage not in got[2]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

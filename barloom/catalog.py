@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import windows as T
-from barloom.registry import indicators, values
+from barloom.registry import indicators, programs, values
 from barloom.sources.bars import hourly_events
 
 
@@ -22,9 +22,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REGISTRIES = (indicators, values, programs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**indicators.QUERIES, **values.QUERIES}
+    return {k: v for r in REGISTRIES for k, v in r.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**indicators.SQL, **values.SQL}
+    return {k: v for r in REGISTRIES for k, v in r.SQL.items()}

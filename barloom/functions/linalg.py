@@ -73,7 +73,7 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q, r = np.linalg.qr(a)
         sign = np.where(np.diag(r) < 0, -1.0, 1.0)
         if np.abs(np.diag(r)).min() < SINGULAR:
-            raise ValueError("matrix appears rank deficient")
+            raise ValueError("no eigenvalues: a zero pivot in a QR step")
         q, r = q * sign, sign[:, None] * r
         a, v = r @ q, v @ q
         if np.abs(a - np.diag(np.diag(a))).sum() < 1e-10:

@@ -18,10 +18,11 @@ class Ema:
     """Seeded with the first value; na until n bars. An ungated one repeats over na."""
 
     def __init__(self, n: int, gated: bool = True, alpha: float | None = None):
-        self.n, self.gated, self.k = n, gated, alpha if alpha is not None else 2 / (n + 1)
+        self.n, self.gated = n, gated
+        self.k = alpha if alpha is not None else 2 / (n + 1) if n > 0 else 0.0
         self.v: Value = None
         self.bars = 0
-        self.dead = False
+        self.dead = n <= 0
 
     def __call__(self, x: Value) -> Value:
         self.bars += 1
@@ -39,7 +40,7 @@ class Rma:
     """Wilder's average: the mean of the first n values, then (v * (n - 1) + x) / n."""
 
     def __init__(self, n: int):
-        self.n, self.sum, self.bars, self.v, self.dead = n, 0.0, 0, None, False
+        self.n, self.sum, self.bars, self.v, self.dead = n, 0.0, 0, None, n <= 0
 
     def __call__(self, x: Value) -> Value:
         self.bars += 1
@@ -112,11 +113,14 @@ class Tsi:
 
 class Dmi:
     def __init__(self, n: int, smooth: int):
-        self.a, self.b = 1 / n, 1 / smooth
+        self.ok = n > 0 and smooth > 0
+        self.a, self.b = (1 / n, 1 / smooth) if self.ok else (0.0, 0.0)
         self.bars, self.p, self.m, self.t, self.adx = 0, 0.0, 0.0, 0.0, None
         self.last = None
 
     def __call__(self, high, low, close):
+        if not self.ok:
+            return None, None, None
         last, self.last = self.last, (high, low, close)
         self.bars += 1
         if last is None:
@@ -140,13 +144,14 @@ class Dmi:
 class Sar:
     def __init__(self, start: float, step: float, most: float):
         self.start, self.step, self.most = start, step, most
+        self.ok = start > 0 and step > 0 and most > 0
         self.bars: list[tuple[float, float]] = []
         self.up = True
         self.sar = self.ep = self.af = 0.0
 
     def __call__(self, high, low):
         self.bars = [*self.bars[-2:], (high, low)]
-        if len(self.bars) == 1:
+        if len(self.bars) == 1 or not self.ok:
             return None
         if len(self.bars) == 2:
             (h0, l0), (h1, _) = self.bars
@@ -171,21 +176,27 @@ class Sar:
 
 
 class Supertrend:
-    """(line, direction): +1 when price is above the line, -1 below; the average range is seeded with its first value."""
+    """(line, direction): +1 when price is above the line, -1 below; na on the first bar.
+
+    The average range is seeded with its first value.
+    """
 
     def __init__(self, factor: float, n: int):
-        self.factor, self.tr, self.atr = factor, Tr(), Ema(n, False, 1 / n)
+        self.ok = n > 0
+        self.factor, self.tr, self.atr = factor, Tr(), Ema(n, False, 1 / n if n > 0 else 0.0)
         self.upper = self.lower = self.close = None
         self.on_upper = True
 
     def __call__(self, high, low, close):
+        if not self.ok:
+            return None, None
         band = self.factor * self.atr(self.tr(high, low, close))
         mid = (high + low) / 2
         u, d = mid + band, mid - band
         before, self.close = self.close, close
         if before is None:
             self.upper, self.lower = u, d
-            return u, -1.0
+            return None, None
         self.upper = u if u < self.upper or before > self.upper else self.upper
         self.lower = d if d > self.lower or before < self.lower else self.lower
         self.on_upper = close <= self.upper if self.on_upper else close < self.lower
@@ -208,6 +219,130 @@ class Rolling:
         return self.f(list(self.held))
 
 
+class Sums:
+    """A function of the running sums of the last n values or pairs, kept bar by bar; na until full or while one is na.
+
+    Sums are of values less a value of the window, and are made anew now and
+    then, so that rounding doesn't add up.
+    """
+
+    REFRESH = 512
+
+    def __init__(self, n: int, f: Callable):
+        self.n, self.f = n, f
+        self.held: deque = deque()
+        self.gaps = self.age = 0
+        self.zero: tuple | None = None
+        self.sums = [0.0] * 5
+
+    def __call__(self, *x: Value):
+        if self.n <= 0:
+            return None
+        self.held.append(x)
+        self._count(x, 1)
+        self.age += 1
+        if len(self.held) > self.n:
+            old = self.held.popleft()
+            self._count(old, -1)
+            # What rounding an outlier has left behind outweighs the rest.
+            if None not in old and any((v - z) ** 2 > 1e4 * abs(self.sums[2 * i + 1]) for i, (v, z) in enumerate(zip(old, self.zero, strict=True))):
+                self.age = self.REFRESH
+        if self.age >= self.REFRESH:
+            self._renew()
+        if len(self.held) < self.n or self.gaps:
+            return None
+        return self.f(self)
+
+    def _count(self, x: tuple, sign: int) -> None:
+        if None in x:
+            self.gaps += sign
+            return
+        if self.zero is None:
+            self.zero = x
+        s, a = self.sums, x[0] - self.zero[0]
+        s[0] += sign * a
+        s[1] += sign * a * a
+        if len(x) > 1:
+            b = x[1] - self.zero[1]
+            s[2] += sign * b
+            s[3] += sign * b * b
+            s[4] += sign * a * b
+
+    def _renew(self) -> None:
+        self.age, self.gaps, self.zero, self.sums = 0, 0, None, [0.0] * 5
+        for x in self.held:
+            self._count(x, 1)
+
+    def mean(self) -> float:
+        return self.zero[0] + self.sums[0] / self.n
+
+    def spread(self, i: int = 0) -> float:
+        """Sum of squares about the mean; from the values themselves where the sums have cancelled out."""
+        total, squares = self.sums[2 * i], self.sums[2 * i + 1]
+        out = squares - total * total / self.n
+        if out > 1e-7 * squares:
+            return out
+        v = [x[i] for x in self.held]
+        m = mean(v)
+        return sum((x - m) ** 2 for x in v)
+
+    def var(self, biased: bool = True) -> Value:
+        n = self.n if biased else self.n - 1
+        return self.spread() / n if n else None
+
+    def stdev(self, biased: bool = True) -> Value:
+        v = self.var(biased)
+        return None if v is None else math.sqrt(v)
+
+    def correlation(self) -> Value:
+        den = math.sqrt(self.spread(0) * self.spread(1))
+        if not den:
+            return None
+        s = self.sums
+        out = s[4] - s[0] * s[2] / self.n
+        if abs(out) <= 1e-7 * abs(s[4]):
+            return correlation(list(self.held))
+        return out / den
+
+    def bands(self, mult: float) -> tuple[float, float, float]:
+        m, d = self.mean(), self.stdev()
+        return m, m + mult * d, m - mult * d
+
+
+class Extreme:
+    """The largest of the last n values (of the negated ones with sign -1); na until full or while one is na."""
+
+    def __init__(self, n: int, sign: float = 1.0):
+        self.n, self.sign, self.bars, self.gap = n, sign, 0, -n
+        self.best: deque = deque()  # (bar, value), falling
+
+    def __call__(self, x: Value) -> Value:
+        i, self.bars = self.bars, self.bars + 1
+        if x is None:
+            self.gap = i
+        else:
+            v = self.sign * x
+            while self.best and self.best[-1][1] <= v:
+                self.best.pop()
+            self.best.append((i, v))
+        while self.best and self.best[0][0] <= i - self.n:
+            self.best.popleft()
+        if self.n <= 0 or i + 1 < self.n or i - self.gap < self.n:
+            return None
+        return self.sign * self.best[0][1]
+
+
+class Listed:
+    """A machine with several outputs, all na where it gives none."""
+
+    def __init__(self, inner: Callable, n: int):
+        self.inner, self.n = inner, n
+
+    def __call__(self, *x):
+        out = self.inner(*x)
+        return (None,) * self.n if out is None else out
+
+
 class Lag:
     def __init__(self, n: int):
         self.held = deque(maxlen=n + 1)

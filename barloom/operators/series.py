@@ -58,9 +58,8 @@ def next_cross(a: Column, b: Column, n: int) -> Column:
     """(bars, value, found): where the regression lines of a and b meet ahead."""
     a0, a1 = linear_regression(a, n)
     b0, b1 = linear_regression(b, n)
-    at = div(b0 - a0, b1 - a1)  # values are alpha - beta * ahead
-    ahead = -at
-    found = F.coalesce(ahead >= 0, F.lit(False))
+    ahead = div(b0 - a0, b1 - a1)  # values are alpha - beta * ahead
+    found = F.coalesce(ahead > 0, F.lit(False))
     return F.struct(F.when(found, F.ceil(ahead)).otherwise(0).cast("double").alias("bars"), F.when(found, a0 - a1 * ahead).otherwise(0.0).alias("value"), found.alias("found"))
 
 
@@ -143,7 +142,9 @@ def softmax(x: Column, n: int) -> Column:
 
 
 def entropy(x: Column, n: int) -> Column:
-    return F.coalesce(F.sum(F.when(x > 0, -x * F.ln(x))).over(rows(n)), F.lit(0.0))
+    """Entropy of the window's values as they are; zeros add nothing, a negative one makes it na."""
+    below = F.coalesce(F.min(x).over(rows(n)) < 0, F.lit(False))
+    return F.when(~below, F.coalesce(F.sum(F.when(x > 0, -x * F.ln(x))).over(rows(n)), F.lit(0.0)))
 
 
 def cross_entropy(a: Column, b: Column, n: int) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 import inspect
 import re
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import in_seconds, to_text
 from barloom.sources.bars import Catalog
 
+from .builtins import text
+from .columns import Sinks, compiled
 from .interpreter import CROSS, Interpreter
 from .syntax import Program, ScriptError, compile_script
 
@@ -42,29 +45,54 @@ def others_of(program: Program) -> list[tuple[str, str]]:
 
 
 class Result:
-    """Per-bar values of a run, with its alerts and logs as tables."""
+    """Per-bar values of a run, with its alerts and logs as tables.
 
-    def __init__(self, raw: DataFrame):
-        self.raw = raw
+    ``raw`` holds the rows of the interpreter's one pass for every sink; it is kept
+    when first read, until ``close``. A compiled program has its frames instead.
+    """
+
+    def __init__(self, raw: DataFrame | None = None, sinks: Sinks | None = None):
+        self.raw, self.sinks = raw if raw is None else raw.persist(), sinks
+
+    def close(self) -> None:
+        if self.raw is not None:
+            self.raw.unpersist()
 
     @property
     def df(self) -> DataFrame:
+        if self.sinks is not None:
+            return self.sinks.values
         return self.raw.where("kind = 'value'").select("symbol", "bar_index", "value")
 
     def variables(self) -> DataFrame:
         """Final numeric root variables of each symbol."""
+        if self.sinks is not None:
+            return self.sinks.variables
         return self.raw.where("kind = 'variable'").select("symbol", F.col("message").alias("name"), "value")
 
     def alerts(self) -> DataFrame:
+        if self.sinks is not None:
+            return self.sinks.alerts.select("symbol", "bar_index", "time", "message", "freq")
         return self.raw.where("kind = 'alert'").select("symbol", "bar_index", F.col("value").alias("time"), "message", F.col("extra").alias("freq"))
 
     def logs(self) -> DataFrame:
+        if self.sinks is not None:
+            return self.sinks.logs.select("symbol", "bar_index", "time", "level", "message")
         return self.raw.where("kind = 'log'").select("symbol", "bar_index", F.col("value").alias("time"), F.col("extra").alias("level"), "message")
 
     def last(self) -> DataFrame:
         """The last bar's value of each symbol."""
         return self.df.groupBy("symbol").agg(F.max_by("value", "bar_index").alias("value"))
 
+    def snapshot(self) -> DataFrame:
+        """(symbol, bar_index, value, variables): the state after the last bar; variables of any kind, as text."""
+        state = self.df.groupBy("symbol").agg(F.max("bar_index").alias("bar_index"), F.max_by("value", "bar_index").alias("value"))
+        held = self.variables().select("symbol", "name", to_text(F.col("value")).alias("text"))
+        if self.raw is not None:
+            held = held.unionByName(self.raw.where("kind = 'text'").select("symbol", F.col("message").alias("name"), F.col("extra").alias("text")))
+        held = held.groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "text")))).alias("variables"))
+        return state.join(held, "symbol", "left")
+
 
 class Engine:
     def __init__(self, timeframe: str = "60", start: datetime | None = None, default_value_type: str = "close"):
@@ -101,27 +129,42 @@ class Engine:
         """A program as text, independent of any source."""
         return MAGIC + compile_script(text).dumps()
 
-    def execute(self, program: str, symbol: str | None = None) -> Result:
-        """Runs a program for one symbol, or for all; each symbol is one group of an Arrow pass."""
+    def execute(self, program: str, symbol: str | None = None, *, until: int | None = None) -> Result:
+        """Runs a program for one symbol, or for all.
+
+        Straight-line programs become columns; of others each symbol is one group of
+        an Arrow pass. ``until`` replays up to that bar: later ones aren't seen.
+        """
         if not program.startswith(MAGIC):
             raise ScriptError("not a compiled program")
         tree = Program.loads(program[len(MAGIC) :])
         bars = self.catalog.bars()
         if self.default not in bars.columns:
             raise ValueError(f"invalid default value type {self.default}")
+        if until is not None:
+            bars = bars.where(F.col("bar_index") <= until)
         prices = [c for c, t in bars.dtypes if c not in ("symbol", "bar_index", "bar_time") and t in ("double", "float", "int", "bigint")]
         bars = bars.select("symbol", "bar_index", *(F.col(c).cast("double").alias(c) for c in prices))
         needed = others_of(tree)
         run_on = bars if symbol is None else bars.where(F.col("symbol") == symbol)
         names = {}
+        asked = sorted({other for other, _ in needed})
+        if asked:
+            known = {r.symbol for r in bars.where(F.col("symbol").isin(asked)).select("symbol").distinct().collect()}
+            if missing := [a for a in asked if a not in known]:
+                raise ScriptError(f"unknown symbol {missing[0]}")
         for i, (other, value) in enumerate(needed):
             column = value if value in prices else self.default
             side = bars.where(F.col("symbol") == other).select("bar_index", F.col(column).alias(f"_of{i}"))
-            if side.isEmpty():
-                raise ScriptError(f"unknown symbol {other}")
             # A full join would keep the other symbol's longer tail, which only the *_of aggregates read.
             run_on = run_on.join(side, "bar_index", "left")
             names[f"_of{i}"] = (other, value)
+        step = (in_seconds(self.timeframe) or 60) * 1000
+        begin = self.start or datetime(1970, 1, 1, tzinfo=UTC)
+        begin = begin.replace(tzinfo=begin.tzinfo or UTC).timestamp() * 1000
+        sinks = compiled(tree, run_on, prices, {k: c for c, k in names.items()}, self.default, begin, step)
+        if sinks is not None:
+            return Result(sinks=sinks)
         functions, timeframe, start, default = self.functions, self.timeframe, self.start, self.default
 
         def run(table: pa.Table) -> pa.Table:
@@ -137,6 +180,7 @@ class Engine:
             rows += [("log", a["bar_index"], a["time"], a["message"], a["level"]) for a in engine.logs]
             finals = {k: (1.0 if v else 0.0) if isinstance(v, bool) else v for k, v in engine.root.items() if v is None or isinstance(v, (int, float))}
             rows += [("variable", index[-1], None if v is None else float(v), k, None) for k, v in finals.items()]
+            rows += [("text", index[-1], None, k, text(v)) for k, v in engine.root.items() if k not in finals]
             kinds, bars_, values_, messages, extra = zip(*rows, strict=True)
             return pa.table(
                 {

@@ -340,7 +340,7 @@ st AS (
 scanned(
     "supertrend",
     [S.supertrend(3.0, 10)],
-    {"supertrend": "CASE WHEN onu THEN u ELSE d END", "direction": "CASE WHEN onu THEN -1.0 ELSE 1.0 END"},
+    {"supertrend": "CASE WHEN bar_index > 0 THEN CASE WHEN onu THEN u ELSE d END END", "direction": "CASE WHEN bar_index > 0 THEN CASE WHEN onu THEN -1.0 ELSE 1.0 END END"},
     ctes=_TR + "," + _ema("avg_tr", "tr", "tr", "0.1") + f""",
 bd AS (SELECT b.symbol, b.bar_index, close, {lag('close')} AS c1, (high + low) / 2 + 3 * avg_tr.v AS bu, (high + low) / 2 - 3 * avg_tr.v AS bl
        FROM bars b JOIN avg_tr ON avg_tr.symbol = b.symbol AND avg_tr.bar_index = b.bar_index),

@@ -72,11 +72,15 @@ class Catalog:
     def bars(self) -> DataFrame:
         if not self.sources:
             raise ValueError("no source is registered")
-        out = self.sources[0]
-        for more in self.sources[1:]:
-            new = more.join(out.select("symbol").distinct(), "symbol", "left_anti")
-            out = out.unionByName(new, allowMissingColumns=True)
-        return out
+        if len(self.sources) == 1:
+            return self.sources[0]
+        tagged = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(self.sources)]
+        every, owner = tagged[0], tagged[0].select("symbol", "_source")
+        for t in tagged[1:]:
+            every = every.unionByName(t, allowMissingColumns=True)
+            owner = owner.unionByName(t.select("symbol", "_source"))
+        owner = owner.groupBy("symbol").agg(F.min("_source").alias("_source"))
+        return every.join(owner, ["symbol", "_source"], "left_semi").drop("_source")
 
     def symbols(self) -> DataFrame:
         return self.bars().select("symbol").distinct().orderBy("symbol")

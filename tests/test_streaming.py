@@ -1,11 +1,13 @@
 """A stream gives what the batch gives."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from barloom.operators import scans as S
-from barloom.streaming import replay, stream_scan
+from barloom.streaming import replay, stream_bars, stream_scan
 
-SCANS = [S.ema("close", 3, "ema"), S.macd("close", 2, 4, 2), S.tsi("close", 2, 3), S.dmi(3, 3), S.sar(0.02, 0.02, 0.2), S.supertrend(2.0, 3), S.atr(3)]
+SCANS = [S.ema("close", 3, "ema"), S.macd("close", 2, 4, 2), S.tsi("close", 2, 3), S.dmi(3, 3), S.sar(0.02, 0.02, 0.2), S.supertrend(2.0, 3), S.atr(3), S.sma("close", 3), S.bb("close", 4, 2.0), S.correlation("close", "high", 3), S.highest("high", 3), S.lowest("low", 3)]
 
 
 def _bars(spark, n=12):
@@ -28,3 +30,26 @@ def test_stream_equals_batch(spark, tmp_path):
     for a, b in zip(got, expected, strict=True):
         for n in names:
             assert (a[n] is None and b[n] is None) or abs(a[n] - b[n]) < 1e-12, (n, a, b)
+
+
+def test_stream_bars_drop_late_events(spark, tmp_path):
+    """Bars come out once the watermark is past their end; an event later than the batch before's changes nothing."""
+    hours = lambda h, m=0: f"2025-01-01 {h:02d}:{m:02d}:00"
+    files = [
+        [("A", hours(0, 5), 1.0), ("A", hours(0, 50), 3.0), ("A", hours(1, 5), 2.0), ("B", hours(1, 30), 7.0)],
+        [("A", hours(5), 9.0)],
+        [("A", hours(6), 8.0)],
+        [("A", hours(0, 10), 100.0), ("A", hours(9), 4.0)],
+    ]
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, "event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        for file in (tmp_path / "in" / str(n)).iterdir():
+            os.utime(file, (1_700_000_000 + 10 * n,) * 2)  # files come in by age
+    got = []
+    schema = spark.read.parquet(str(tmp_path / "in" / "0"))
+    query = replay(schema, str(tmp_path / "in" / "*"), str(tmp_path / "check"), stream_bars, lambda df, _: got.extend(df.collect()))
+    query.awaitTermination()
+    bars = {(r.symbol, r.bar_time.hour): (r.open, r.high, r.low, r.close, r.volume) for r in got}
+    assert bars["A", 0] == (1.0, 3.0, 1.0, 3.0, 2.0)
+    assert bars["A", 1] == (2.0, 2.0, 2.0, 2.0, 1.0) and bars["B", 1] == (7.0, 7.0, 7.0, 7.0, 1.0)
+    assert ("A", 9) not in bars

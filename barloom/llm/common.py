@@ -6,8 +6,12 @@ every executor can read, so a lost executor costs a recomputation at most.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,47 +19,117 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext
-        known = context.getCheckpointDir()
-        if known is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-            known = context.getCheckpointDir()
-        path = known
-    return path.rstrip("/")
+    """The folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``, else the checkpoint folder set on the
+    context, else a folder of the warehouse, which executors can read as well.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
+def trim() -> None:
+    """Gives free memory back to the system: workers are used again, by other operators too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches, after whose last one free memory goes back."""
+
+    @functools.wraps(run)
+    def tidied(*args):
+        try:
+            yield from run(*args)
+        finally:
+            trim()
+
+    return tidied
+
+
+_MODEL: dict[Hashable, Any] = {}
+
+
+def held_model(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one model that a worker holds; another operator's goes first."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        trim()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
+_OPEN: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def close_scratch(spark: SparkSession, keep: Scratch | None = None) -> None:
+    """Removes the scratch tables of every operator called since the last time, but for those of ``keep``.
+
+    For the owner of the results, once they are written: results that aren't
+    yet read can't be read any more.
+    """
+    for owner, root in [x for x in _OPEN if x[0] is spark and (keep is None or x[1] != keep.root)]:
+        _delete(owner, root)
+        _OPEN.remove((owner, root))
 
 
 class Scratch:
     """Intermediate tables of one operator call.
 
     ``save`` writes a frame and reads it back; ``drop`` removes a table that no
-    later plan reads. Tables that the returned frame still reads are left for
-    the owner of the shared folder to remove.
+    later plan reads. Tables that the returned frame still reads stay until the
+    owner of the results calls ``close_scratch``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        _OPEN.append((spark, self.root))
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def _path(self) -> str:
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        return f"{self.root}/{self.count}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = self._path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
+        return out
+
+    def save_bucketed(self, df: DataFrame, count: int, column: str, compression: str = "zstd") -> DataFrame:
+        """A table bucketed by a column, so that later groups and joins by it don't shuffle it.
+
+        The catalog forgets it as soon as the frame knows its files.
+        """
+        path, name = self._path(), f"scratch_{uuid.uuid4().hex}"
+        try:
+            df.write.bucketBy(count, column).option("path", path).option("compression", compression).saveAsTable(name)
+            out = self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df._scratch_path)
+
+
+def bucket_count(spark: SparkSession, total: int, block_bytes: int, blocks: int = 4) -> int:
+    """Buckets for a table of blocks: about ``blocks`` in each, as far as Spark allows."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return max(1, min(most, -(-total // (blocks * block_bytes))))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

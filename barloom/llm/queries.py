@@ -120,10 +120,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identifiers of every text, and whether they decode to it (markers read as spaces)."""
     import public_tokenizers
 
-    from .pieces import MARK, decode, encode
+    from .pieces import MARK, encode
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    found = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
     return found.select(
         "doc_id",

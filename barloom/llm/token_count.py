@@ -11,16 +11,15 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held_model, slices, tidy
 
-_CACHE = 400_000
+_CACHE = 250_000
 
 
 def _byte_symbols() -> list[str]:
@@ -125,11 +124,6 @@ class WordBpe:
         return self._plain(text)
 
 
-@lru_cache(4)
-def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def count_tokens(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048
 ) -> DataFrame:
@@ -141,8 +135,9 @@ def count_tokens(
     empty input gives an empty result; further columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = held_model((WordBpe, path), lambda: WordBpe(path))
         for batch in batches:
             for piece in slices(batch):
                 counts = [bpe.count(t) if t else 0 for t in piece.column("text").to_pylist()]

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, tidy
 
 DECAY, ORDER, POWER, SPAN = 0.6, 3, 2.0, 4
 SHARED = 0.45  # of a landmark's character pairs that a token must have
 LONGEST, STRIDE = 24, 12
 START = "^"  # stands before every token, so that its beginning counts
 SURPLUS = 16.0  # least log-likelihood ratio of a landmark
-_SEEN = 500_000
+_SEEN = 250_000
 _LETTERS = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>|*&%$#-_=+/\\«»¿¡…“”‘’"
 
@@ -340,6 +340,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", *, score
     """
     docs = docs.drop(score_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for batch in batches:

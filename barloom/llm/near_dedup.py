@@ -8,14 +8,25 @@ they differ in one symbol at most; so each chunk is entered into the index once
 for each symbol left out, and every pair under that distance meets under some
 key. Pairs that meet are confirmed on their full sets.
 
-Sets, not documents, are the nodes: equal sets share one node, so copies cost
-one index entry for each task that reads them. Within a key no pairs are
-enumerated: the most central nodes act as pivots, every member is held against
-them, and what one component already joins is not compared again. Pivots whose
-pairs are all settled leave the key, and the number of pivots for a key grows
-geometrically until nothing unsettled is left, so no candidate is ever dropped.
-Members of a large group that can only be linked through what its pivot lacks
-meet by that instead (see ``_referred``).
+Sets, not documents, are the nodes: equal sets (by a hash of 128 bits) share one
+node, so copies cost no index entries.
+
+1. Documents are packed into blocks, a table bucketed by block in the shared
+   folder, with their sets' keys; later steps meet it without shuffling texts.
+2. Each block sends the packed keys of the sets that it owns to hash buckets,
+   which answer how many nodes have each key. Only sets with a key that another
+   node has go on, with signature and shingles, into a table bucketed by block.
+3. Within a key no pairs are enumerated: the most central nodes act as pivots,
+   every member is held against them, and what one component already joins is
+   not compared again. Of keys with the same members one stays. First each node
+   meets the pivot of its most crowded key, its reference; then pivots take the
+   other keys. Pivots whose pairs are all settled leave the key, and the number
+   of pivots for a key grows geometrically until nothing unsettled is left, so
+   no candidate is ever dropped. Members of a large group that can only be
+   linked through what their reference lacks meet by that instead (see
+   ``_referred``).
+4. Pairs whose signatures are over the distance are far below the threshold;
+   the full sets of the others are fetched and compared.
 """
 
 from __future__ import annotations
@@ -24,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices, utf8
+from .common import Scratch, bucket_count, connected_components, slices, tidy, utf8
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -57,11 +69,12 @@ def _powers(n: int, root: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; empty without words."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+#: Bytes of a long text whose words are hashed at once.
+CHUNK = 1 << 18
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of a buffer."""
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -69,20 +82,44 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * _powers(len(data), _ROOT), out=total[1:])
     inverse = _powers(len(data), pow(_ROOT, -1, _MOD))
-    words = _mix((total[end] - total[start]) * inverse[start])
+    return start, _mix((total[end] - total[start]) * inverse[start])
+
+
+def _long_words(text: bytes) -> np.ndarray:
+    """Hashes of a long text's words, taken in chunks that end at white space."""
+    data, at, out = np.frombuffer(text, np.uint8), 0, []
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not (gap := np.flatnonzero(_SPACE[data[end : end + CHUNK]])).size:
+            end += CHUNK
+        end = min(len(data), end + int(gap[0])) if end < len(data) else len(data)
+        out.append(_words(data[at:end])[1])
+        at = end
+    return np.concatenate([np.empty(0, U), *out])
+
+
+def _shingles(w: np.ndarray, size: int) -> np.ndarray:
+    if not len(w):
+        return np.empty(0, U)
+    k = min(size, len(w))
+    h = np.full(len(w) - k + 1, k, U)
+    for j in range(k):
+        h = _mix(h * U(0x9DDFEA08EB382D69) + w[j : len(w) - k + 1 + j])
+    return np.unique(h)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; empty without words."""
+    if not texts:
+        return []
+    short = [t if len(t) <= CHUNK else b"" for t in texts]
+    data = np.frombuffer(b" ".join(short) + b" ", np.uint8)
+    lengths = np.fromiter(map(len, short), np.int64, len(short)) + 1
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    start, words = _words(data)
     cut = np.searchsorted(start, np.append(first, len(data)))
-    out = []
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        w = words[lo:hi]
-        if not len(w):
-            out.append(np.empty(0, U))
-            continue
-        k = min(size, len(w))
-        h = np.full(len(w) - k + 1, k, U)
-        for j in range(k):
-            h = _mix(h * U(0x9DDFEA08EB382D69) + w[j : len(w) - k + 1 + j])
-        out.append(np.unique(h))
-    return out
+    parts = zip(texts, cut[:-1], cut[1:], strict=True)
+    return [_shingles(words[lo:hi] if len(t) <= CHUNK else _long_words(t), size) for t, lo, hi in parts]
 
 
 class Index:
@@ -110,11 +147,19 @@ class Index:
                 if j != skip:
                     h = _mix(h * U(0x9DDFEA08EB382D69) + s[:, :, j])
             out[:, :, skip] = h
-        return out.reshape(len(s), -1)
+        return out.reshape(len(s), self.chunks * self.width)
 
 
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+#: Bits of a block's number in its task, and of a set's number in its block; a node is named by its place.
+SEQ, PLACE = 16, 21
+READ = (
+    "blk long, members array<struct<id:long,n:long,hash:binary,place:long,mark:long>>, "
+    "lens binary, texts binary, signs binary"
+)
+CHOSEN = "blk long, node long, n long, central long, keys array<long>, sign array<int>, shingles array<long>"
+#: Nodes of keys with more members get a reference.
+CROWD = 16
+_MEMBER = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("hash", pa.binary()), ("place", pa.int64()), ("mark", pa.int64())])
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -123,52 +168,155 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _signed(size: int, index: Index):
+class _Block:
+    """Documents gathered for one row of the block table."""
+
+    def __init__(self, blk: int):
+        self.blk, self.size = blk, 0
+        self.columns: list[list] = [[] for _ in range(5)]
+        self.places: dict[bytes, int] = {}
+        self.texts: list[bytes] = []
+        self.signs: list[np.ndarray] = []
+
+    def add(self, piece: pa.RecordBatch, size: int, index: Index) -> None:
+        texts = utf8(piece.column("text"))
+        sets = shingle_sets(texts, size)
+        ids, fresh = piece.column("id").to_pylist(), []
+        for i, t, s, m in zip(ids, texts, sets, piece.column("mark").to_pylist(), strict=True):
+            name = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+            place = None
+            # Rows without an id take no part, so a set's place goes to those that have one.
+            if name is not None and i is not None:
+                place = self.places.setdefault(name, len(self.places))
+                if place == len(self.texts):
+                    self.texts.append(t)
+                    fresh.append(s)
+                place |= self.blk << PLACE
+            for column, v in zip(self.columns, (i, len(s), name, place, m), strict=True):
+                column.append(v)
+            self.size += len(t) + 64
+        if fresh:
+            self.signs += [index.signature(s).astype("<u2") for s in fresh]
+
+    def row(self) -> pa.RecordBatch:
+        fields = [pa.array(c, f.type) for c, f in zip(self.columns, _MEMBER, strict=True)]
+        members = pa.StructArray.from_arrays(fields, fields=list(_MEMBER))
+        lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.blk], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), members),
+                pa.array([lens.tobytes()], pa.binary()),
+                pa.array([b"".join(self.texts)], pa.binary()),
+                pa.array([b"".join(x.tobytes() for x in self.signs)], pa.binary()),
+            ],
+            ["blk", "members", "lens", "texts", "signs"],
+        )
+
+
+def _signed(size: int, index: Index, block_bytes: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        base, seq = TaskContext.get().partitionId() << SEQ, 0
+        block = _Block(base)
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
-                sets = shingle_sets(utf8(piece.column("text")), size)
-                nodes = [_node(s) if len(s) else None for s in sets]
-                fresh = []
-                # Rows without an id leave a set's keys to those that have one.
-                known = piece.column("id").is_valid().to_pylist()
-                for i, n in enumerate(nodes):
-                    if n is not None and known[i] and n not in seen:
-                        if len(seen) >= 1 << 20:
-                            seen.clear()
-                        seen.add(n)
-                        fresh.append(i)
-                keys = [np.empty(0, U)] * len(sets)
-                if fresh:
-                    made = index.keys(np.stack([index.signature(sets[i]) for i in fresh]))
-                    for i, k in zip(fresh, made, strict=True):
-                        keys[i] = k
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("id"),
-                        pa.array(map(len, sets), pa.int64()),
-                        pa.array(nodes, pa.int64()),
-                        _lists(keys),
-                        piece.column("mark"),
-                    ],
-                    ["id", "n", "node", "keys", "mark"],
-                )
+            for piece in slices(batch, min(1 << 20, block_bytes)):
+                if block.size >= block_bytes:
+                    yield block.row()
+                    seq += 1
+                    if seq >> SEQ:
+                        raise ValueError("a task has too many blocks: use smaller partitions")
+                    block = _Block(base | seq)
+                block.add(piece, size, index)
+        if block.size:
+            yield block.row()
 
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, 2 << 20):
-                sets = shingle_sets(utf8(piece.column("text")), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), _lists(sets)],
-                    ["node", "shingles"],
-                )
+class _Keys:
+    """The steps that tell which keys several nodes have; hash ranges of keys are the buckets."""
+
+    def __init__(self, index: Index, size: int, buckets: int):
+        self.index, self.size, self.buckets = index, size, buckets
+        self.limits = np.array([(i << 64) // buckets for i in range(1, buckets)], U)
+
+    def _owned(self, signs: bytes, notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, signatures and keys of a block's sets, without those that an earlier block has."""
+        signs = np.frombuffer(signs, "<u2").reshape(-1, self.index.chunks * self.index.width)
+        own = np.ones(len(signs), bool)
+        own[[i for i in notes.column("idx").to_pylist() if i is not None]] = False
+        own = np.flatnonzero(own)
+        return own, signs[own], self.index.keys(signs[own].astype(U))
+
+    def _cuts(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.searchsorted(keys, self.limits), [len(keys)]))
+
+    def send(self, blocks: pa.Table, notes: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"bucket": [], "blk": [], "keys": [], "times": []}
+        for blk, signs in zip(blocks.column("blk").to_pylist(), blocks.column("signs").to_pylist(), strict=True):
+            key, times = np.unique(self._owned(signs, notes)[2], return_counts=True)
+            times = np.minimum(times, 255).astype(np.uint8)
+            cut = self._cuts(key)
+            for i in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[i], cut[i + 1])
+                for name, v in zip(out, (int(i), blk, key[part].tobytes(), times[part].tobytes()), strict=True):
+                    out[name].append(v)
+        kinds = {"bucket": pa.int32(), "blk": pa.int64()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+
+    def answer(self, table: pa.Table) -> pa.Table:
+        """For each block's keys of a bucket, how many nodes have them (at most 255); 0 for a single one."""
+        sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
+        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
+        _, of = np.unique(key, return_inverse=True)
+        held = np.minimum(np.bincount(of, times), 255).astype(np.uint8)
+        held = np.where(held > 1, held, 0).astype(np.uint8)[of]
+        ends = np.cumsum([0, *sizes])
+        return pa.table(
+            {
+                "blk": table.column("blk"),
+                "bucket": table.column("bucket"),
+                "held": pa.array([held[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "idx": pa.array([None] * len(sizes), pa.int32()),
+            }
+        )
 
-    return run
+    def choose(self, blocks: pa.Table, notes: pa.Table) -> pa.Table:
+        """The sets with a key that another node has: size, those keys, signature and shingles."""
+        told = zip(notes.column("bucket").to_pylist(), notes.column("held").to_pylist(), strict=True)
+        held = np.frombuffer(b"".join(h for _, h in sorted(x for x in told if x[1] is not None)), np.uint8)
+        nodes, blks, sizes, central, keys, signs, sets = [], [], [], [], [], [], []
+        for blk, lens, texts, packed in zip(*(blocks.column(c).to_pylist() for c in ("blk", "lens", "texts", "signs")), strict=True):
+            own, sign, mine = self._owned(packed, notes)
+            if not len(own) or not len(held):
+                continue
+            _, of = np.unique(mine, return_inverse=True)
+            times = held[of].reshape(mine.shape)
+            rows = np.flatnonzero(times.any(axis=1))
+            ends = np.cumsum([0, *np.frombuffer(lens, np.int64)])
+            found = shingle_sets([texts[ends[i] : ends[i + 1]] for i in own[rows]], self.size)
+            nodes.append((blk << PLACE) | own[rows])
+            blks += [blk] * len(rows)
+            sizes += map(len, found)
+            central.append(times[rows].sum(axis=1, dtype=np.int64))
+            keys += [mine[r][times[r] > 0] for r in rows]
+            signs += sign[rows].astype(np.int32).tolist()
+            sets += found
+        cat = lambda a: np.concatenate([np.empty(0, np.int64), *a])
+        return pa.table(
+            {
+                "blk": pa.array(blks, pa.int64()), "node": cat(nodes), "n": pa.array(sizes, pa.int64()), "central": cat(central),
+                "keys": _lists(keys), "sign": pa.array(signs, pa.list_(pa.int32())), "shingles": _lists(sets),
+            }
+        )
+
+
+def _fetched(wanted: pa.Table, sets: pa.Table) -> pa.Table:
+    return sets.filter(pc.is_in(sets.column("node"), wanted.column("node").combine_chunks())).select(["node", "shingles"])
 
 
 def _reaches(common: Column, sizes: Column, percent: int) -> Column:
@@ -177,17 +325,20 @@ def _reaches(common: Column, sizes: Column, percent: int) -> Column:
 
 
 def _unreferred() -> list[Column]:
-    return [F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("common"), F.lit(False).alias("free")]
+    none = [F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("common")]
+    return [*none, F.lit(False).alias("free"), F.lit(0).cast("long").alias("crowd")]
 
 
 def _mixed(live: DataFrame) -> DataFrame:
-    """Rows of keys whose nodes are of several components."""
-    mixed = live.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-    return live.join(mixed.select("key"), "key", "left_semi").select(*live.columns)
+    """Rows of keys whose nodes are of several components; of keys with the same nodes, one stays. ``crowd``: their number."""
+    mix = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    keys = live.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c"), F.max("free").alias("f"), *mix)
+    keys = keys.where("l < h").groupBy("c", "f", "x0", "x1").agg(F.min("key").alias("key"))
+    return live.drop("crowd").join(keys.select("key", F.col("c").alias("crowd")), "key").select(*live.columns)
 
 
-def _referred(live: DataFrame, checked: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """What is left to compare after the first pivots, without squaring large groups.
+def _referred(live: DataFrame, refs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """What is left to compare after the references (node, ref, common, rest), without squaring large groups.
 
     Let x and y have the reference p. What they share lies in p, where it is
     at most what either shares with p, or outside p. If the former can't reach
@@ -196,7 +347,6 @@ def _referred(live: DataFrame, checked: DataFrame, nodes: DataFrame, percent: in
     reference, leaves that key; and nodes get keys for their shingles outside
     their reference.
     """
-    refs = checked.where("rest is not null").select("node", F.col("pivot").alias("ref"), "common", "rest")
     live = scratch.save(_mixed(live))
     refs = scratch.save(refs.join(live.select("node").distinct(), "node"))
     outside = scratch.save(refs.select("ref", "node", F.explode("rest").alias("s")))
@@ -213,13 +363,15 @@ def _referred(live: DataFrame, checked: DataFrame, nodes: DataFrame, percent: in
         (F.count("ref") == F.count("*")).alias("all"),
         F.min("n").alias("least"),
     )
+    # A linked set isn't smaller than the threshold's share of this one.
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     alike = F.coalesce(F.col("one") & F.col("all"), F.lit(False))
-    open_ = live.join(group, "key").where(~alike | _reaches(F.col("common"), F.col("n") + F.col("least"), percent))
+    open_ = live.join(group, "key").where(~alike | _reaches(F.col("common"), F.col("n") + other, percent))
     free = (
         outside.where("not most")
         .select(F.xxhash64("ref", "s").alias("key"), "node")
         .join(nodes.select("node", "central", "n", "label"), "node")
-        .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"))
+        .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"), F.lit(0).cast("long").alias("crowd"))
     )
     return scratch.save(open_.select(*live.columns).unionByName(free))
 
@@ -233,7 +385,10 @@ def near_duplicates(
     percent: int = 80,
     chunks: int = 12,
     width: int = 6,
+    distance: int = 36,
     details: bool = False,
+    block_bytes: int = 2 << 20,
+    bucket_rows: int = 1 << 20,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each input row.
 
@@ -241,109 +396,147 @@ def near_duplicates(
     Jaccard similarity of ``percent`` / 100 or more; ``component_id`` is the
     least id that links reach. With 12 chunks of 6 symbols a pair at exactly
     0.8 is missed with probability 3e-6, and never if fewer than 24 of its 72
-    symbols differ.
+    symbols differ. Pairs with over ``distance`` differing symbols are taken as
+    unlinked; at 0.8 that has a probability below 1e-9.
 
     Null or empty texts and texts without words have an empty set and stand
     alone. A null id takes no part in links: its component is null and it is
     kept. Rows that repeat an id are judged each by its own text, so equal rows
     get equal results. An empty input gives an empty result; further columns
-    are ignored. With ``details`` each row also has ``mark``, the xxhash64 of
+    are ignored. A text's memory grows by some 30 bytes a word; a bucket of keys
+    holds ``bucket_rows`` of them and one more of a common key for each block
+    of ``block_bytes``. With ``details`` each row also has ``mark``, the xxhash64 of
     its text, and ``group``, which tells components apart that have one least
     id (null for empty sets and null ids).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    index = Index(chunks, width)
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    read = scratch.save(
-        marked.mapInArrow(_signed(shingle, Index(chunks, width)), "id long, n long, node long, keys array<long>, mark long")
+    signed = marked.mapInArrow(_signed(shingle, index, block_bytes), READ)
+    read = scratch.save_bucketed(signed, bucket_count(spark, total, block_bytes), "blk")
+    member = read.select(F.explode("members").alias("m")).select("m.*")
+    placed = member.where("place is not null")
+    nodes = scratch.save(
+        placed.groupBy("hash").agg(F.min("place").alias("node"), F.min("id").alias("first"), F.first("n").alias("n"))
+    )
+    # A set belongs to the first block that has it; notes tell the others.
+    copies = placed.select("hash", "place").distinct().join(nodes.select("hash", "node"), "hash").where("place <> node")
+    copies = scratch.save(
+        copies.select(
+            F.shiftright("place", PLACE).alias("blk"),
+            F.lit(None).cast("int").alias("bucket"),
+            F.lit(None).cast("binary").alias("held"),
+            F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("idx"),
+        )
     )
-    member = read.select("id", "n", "node", "mark")
-    index = read.where("id is not null").select(F.explode("keys").alias("key"), "node").distinct()
-    crowd = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    index = scratch.save(index.join(crowd, "key"))
-    nodes = member.where("id is not null and node is not null").groupBy("node").agg(
-        F.min("id").alias("first"), F.first("n").alias("n")
+    job = _Keys(index, shingle, max(1, -(-nodes.count() * chunks * width // bucket_rows)))
+    sent = (
+        read.select("blk", "signs")
+        .groupBy("blk")
+        .cogroup(copies.groupBy("blk"))
+        .applyInArrow(lambda a, b: job.send(a, b), "bucket int, blk long, keys binary, times binary")
     )
-    central = index.groupBy("node").agg(F.sum("members").alias("central"))
-    nodes = scratch.save(nodes.join(central, "node", "left"))
-    chosen = nodes.where("central is not null").select(F.col("first").alias("id"))
-    sets = scratch.save(docs.join(chosen, "id").select("text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
-
-    nodes = nodes.withColumn("label", F.col("node"))
-    live = scratch.save(
-        index.select("key", "node")
-        .join(nodes.where("central is not null").select("node", "central", "n", "label"), "node")
-        .select("key", "node", "central", "n", "label", *_unreferred())
+    note = "blk long, bucket int, held binary, idx int"
+    answers = scratch.save(sent.groupBy("bucket").applyInArrow(lambda t: job.answer(t), note))
+    chosen = (
+        read.select("blk", "lens", "texts", "signs")
+        .groupBy("blk")
+        .cogroup(copies.unionByName(answers).groupBy("blk"))
+        .applyInArrow(lambda a, b: job.choose(a, b), CHOSEN)
     )
-    tested, salts = None, 1
+    # Written as it was grouped: sets are fetched by block and not shuffled.
+    chosen = scratch.save_bucketed(chosen, bucket_count(spark, total, block_bytes), "blk")
+    member = scratch.save(member)
+    scratch.drop(read, answers, copies)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(node, pivot, label, plabel, common, rest, linked) of the pairs near enough by their signatures, and of references."""
+        one, two = (chosen.select(F.col("node").alias(c), F.col("sign").alias(f"{c}_sign")) for c in ("node", "pivot"))
+        same = F.size(F.filter(F.zip_with("node_sign", "pivot_sign", lambda x, y: x == y), lambda x: x))
+        near = pairs.join(one, "node").join(two, "pivot").where(F.col("refer") | (same >= chunks * width - distance))
+        near = scratch.save(near.select(*pairs.columns))
+        wanted = near.select("node").unionByName(near.select(F.col("pivot").alias("node"))).distinct()
+        wanted = wanted.select("node", F.shiftright("node", PLACE).alias("blk"))
+        sets = wanted.groupBy("blk").cogroup(chosen.select("blk", "node", "shingles").groupBy("blk"))
+        sets = scratch.save(sets.applyInArrow(lambda a, b: _fetched(a, b), "node long, shingles array<long>"))
+        one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("node", "pivot"))
+        both = F.size(F.array_intersect("snode", "spivot"))
+        found = near.join(one, "node").join(two, "pivot").select(
+            "node", "pivot", "label", "plabel", both.alias("common"),
+            F.when(F.col("refer"), F.array_except("snode", "spivot")).alias("rest"),
+            _reaches(both, F.size("snode") + F.size("spivot"), percent).alias("linked"),
+        )
+        found = scratch.save(found)
+        scratch.drop(near, sets)
+        return found
+
+    labels = chosen.select("node", "n", "central", F.col("node").alias("label"))
+    live = chosen.select(F.explode("keys").alias("key"), "node", "central", "n", F.col("node").alias("label"), *_unreferred())
+    live = scratch.save(_mixed(live))
+    # Round 0: each node and the pivot of its most crowded key.
+    tested, salts = None, 0
     while not live.isEmpty():
-        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts))
-        of = {"node": "pivot", "n": "pn", "label": "plabel", "ref": "pref", "common": "pcommon", "central": "pcentral"}
+        first = salts == 0
+        salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(max(1, salts)))
+        of = {"node": "pivot", "n": "pn", "label": "plabel", "ref": "pref", "common": "pcommon"}
         pivots = scratch.save(
             live.groupBy("key", salt.alias("salt"))
-            .agg(F.max(F.struct("central", "node", "n", "label", "ref", "common")).alias("p"))
-            .select("key", *(F.col(f"p.{k}").alias(v) for k, v in of.items()))
+            .agg(F.max(F.struct("central", "node", "n", "label", "ref", "common")).alias("p"), F.max("crowd").alias("pcrowd"))
+            .select("key", "pcrowd", *(F.col(f"p.{k}").alias(v) for k, v in of.items()))
         )
+        rows = live
+        if first:
+            top = live.groupBy("node").agg(F.max(F.struct("crowd", "key")).alias("m"))
+            rows = live.join(top.select("node", F.col("m.key").alias("key")), ["node", "key"], "left_semi")
         # Only pairs that can reach the threshold: by their sizes, and by what they share with a common reference.
-        near = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
+        fits = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
         apart = (F.col("ref") == F.col("pref")) & ~_reaches(F.least("common", "pcommon"), F.col("n") + F.col("pn"), percent)
+        refer = F.col("crowd") > CROWD if first else F.lit(False)
         pairs = (
-            live.join(pivots, "key")
-            .where((F.col("label") != F.col("plabel")) & near & (F.col("free") | ~F.coalesce(apart, F.lit(False))))
-            .select("node", "pivot", "label", "plabel", "pcentral")
+            rows.join(pivots, "key")
+            .where((F.col("label") != F.col("plabel")) & (fits | refer) & (F.col("free") | ~F.coalesce(apart, F.lit(False))))
+            .select("node", "pivot", "label", "plabel", refer.alias("refer"))
         )
-        first = salts == 1
         if not first:
             # One row for a pair, whichever of the two is the pivot.
             turn = F.col("node") > F.col("pivot")
             swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x)
-            pairs = pairs.select(swap("node", "pivot"), F.greatest("node", "pivot").alias("pivot"), swap("label", "plabel"), F.when(turn, F.col("label")).otherwise(F.col("plabel")).alias("plabel"))
+            pairs = pairs.select(swap("node", "pivot"), F.greatest("node", "pivot").alias("pivot"), swap("label", "plabel"), F.when(turn, F.col("label")).otherwise(F.col("plabel")).alias("plabel"), "refer")
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["node", "pivot"], "left_anti")
         pairs = scratch.save(pairs)
-        asked = pairs
-        if first:
-            # A node's reference is the most central pivot that it meets.
-            best = pairs.groupBy("node").agg(F.max(F.struct("pcentral", "pivot")).alias("best"))
-            asked = pairs.join(best.select("node", F.col("best.pivot").alias("ref")), "node")
-        one = sets.select("node", F.col("shingles").alias("sa"))
-        two = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sb"))
-        checked = asked.join(one, "node").join(two, "pivot")
-        if first:
-            rest = F.when(F.col("ref") == F.col("pivot"), F.array_except("sa", "sb"))
-        else:
-            rest = F.lit(None).cast("array<long>")
-        both = F.size(F.array_intersect("sa", "sb"))
-        checked = scratch.save(
-            checked.select(
-                "node", "pivot", "label", "plabel", both.alias("common"), rest.alias("rest"),
-                _reaches(both, F.size("sa") + F.size("sb"), percent).alias("linked"),
-            )
-        )
+        checked = compared(pairs)
         done = pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
         tested = done if tested is None else tested.unionByName(done)
         links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b")).distinct()
-        left = live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        left = live if first else live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         if not links.isEmpty():
             joined = connected_components(links, scratch).select(F.col("id").alias("label"), "component")
             joined = scratch.save(joined)
             relabel = F.coalesce("component", "label").alias("label")
-            left = left.join(joined, "label", "left").select("key", "node", "central", "n", relabel, "ref", "common", "free")
-            nodes = scratch.save(nodes.join(joined, "label", "left").select("node", "first", "n", "central", relabel))
+            left = left.join(joined, "label", "left").select("key", "node", "central", "n", relabel, "ref", "common", "free", "crowd")
+            labels = scratch.save(labels.join(joined, "label", "left").select("node", "n", "central", relabel))
         if first:
-            left = _referred(left, checked, nodes, percent, scratch)
+            refs = checked.where("rest is not null").select("node", F.col("pivot").alias("ref"), "common", "rest")
+            # A pivot that has no reference is its own.
+            own = pivots.where(F.col("pcrowd") > CROWD).select(F.col("pivot").alias("node"), "pn").distinct()
+            own = own.join(refs.select("node"), "node", "left_anti")
+            own = own.select("node", F.col("node").alias("ref"), F.col("pn").cast("int").alias("common"), F.array().cast("array<long>").alias("rest"))
+            left = _referred(left, refs.unionByName(own), labels, percent, scratch)
         old, live = live, scratch.save(_mixed(left))
-        scratch.drop(old)
-        salts *= 16
-
-    nodes = nodes.select("node", "label", "first")
-    least = scratch.save(nodes.groupBy("label").agg(F.min("first").alias("component")))
-    component = scratch.save(nodes.join(least, "label").select("node", "component", "label"))
-    out = member.join(component, "node", "left")
+        scratch.drop(old, pivots, checked)
+        salts = 1 if first else salts * 16
+
+    # Nodes that met no other keep their own label.
+    named = nodes.join(labels.select("node", "label"), "node", "left").select("hash", "first", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("component"))
+    named = scratch.save(named.join(least, "label").select("hash", "component", "label"))
+    out = member.join(named, "hash", "left")
     found = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    scratch.drop(sets)
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -9,17 +9,23 @@ positions) need sorting.
 1. Documents are packed into blocks, a table bucketed by block in the shared
    folder; later steps meet it without shuffling texts again.
 2. Each block sends its anchors' distinct k-gram hashes to hash buckets, which
-   answer with a bit for each: does another document have it?
-3. Only anchors whose k-gram repeats send their context (the bytes of all the
-   windows at that anchor), each distinct context once for a block with its
-   least document. Sampled splitters range-partition the contexts by their
-   leading bytes. A leading key that spans several splitters is cut into single
-   windows, dealt by the window, so that no bucket depends on one passage.
-4. Buckets sort contexts by multikey quicksort, eight bytes at a time, and where
+   answer with a bit for each: does another document have it? It also sends a
+   few leading keys of its suffixes, a sample in proportion to the data.
+3. Only anchors whose k-gram repeats go on. Sampled splitters range-partition
+   their contexts (the bytes of all the windows at an anchor) by their leading
+   bytes, each distinct context once for a block with its least document.
+4. Buckets sort contexts by multikey quicksort, eight bytes as one key, and where
    one leading key has several contexts, their windows too. Neighbours in that
    order give each window's least document; blocks get back the least document
    of each context and a bit for each window that has a smaller one elsewhere.
-5. Blocks mark the bytes covered.
+5. A leading key that spans several splitters is too common for one bucket: its
+   windows are counted by a digest instead, least documents first by task and
+   then in all, so that no task depends on one passage.
+6. Blocks mark the bytes covered.
+
+Buckets are cut between leading keys, never within one. So suffixes that begin
+alike never stand on both sides of a boundary, and comparing neighbouring buckets
+can't find anything more.
 """
 
 from __future__ import annotations
@@ -34,13 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, utf8
+from .common import Scratch, bucket_count, tidy, utf8
 
 U = np.uint64
 _BYTE = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 _ROOT = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
 _LAST = np.iinfo(np.int64).max
+#: Leading keys that a block adds to the sample, and the most buckets (their splitters travel with the tasks).
+SAMPLED, BUCKETS = 32, 1 << 20
+#: Groups of at most so many rows are sorted outright.
+SMALL = 4096
+#: The part of notes about windows of common leading keys.
+HOT = -(1 << 31)
 _power: dict[int, np.ndarray] = {}
 
 
@@ -134,33 +146,50 @@ class Runs:
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte rows, and the number of the group of equal rows at each place of it.
 
-    Multikey quicksort with eight bytes as one key: order by the first key,
-    then only groups that are still equal go on to the next key.
+    Multikey quicksort with eight bytes as one key: a group is divided in three by
+    a pivot; rows equal to the pivot go on with the next key. Small groups are
+    sorted key by key, all at once.
     """
     n = len(rows)
     pad = -rows.shape[1] % 8
     if pad:
         rows = np.concatenate([rows, np.zeros((n, pad), np.uint8)], axis=1)
-    words = np.ascontiguousarray(rows).view(">u8")
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    live = np.arange(n)  # places whose group has more than one row
-    for j in range(words.shape[1]):
-        if len(live) < 2:
-            break
-        key, held = words[order[live], j].astype(U), group[live]
-        by = np.lexsort((key, held))
-        order[live] = order[live][by]
-        key, held = key[by], held[by]
-        new = np.empty(len(live), bool)
-        new[0] = True
-        new[1:] = (held[1:] != held[:-1]) | (key[1:] != key[:-1])
-        first = live[np.flatnonzero(new)]
-        group[live] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(live))))
+    words = np.ascontiguousarray(np.ascontiguousarray(rows).view(">u8").T.astype(U))
+    order, begins = np.arange(n), np.zeros(n + 1, bool)
+    begins[:1] = True
+    todo, small = [(0, n, 0)], []
+    while todo:
+        lo, hi, j = todo.pop()
+        if hi - lo < 2 or j == len(words):
+            continue
+        if hi - lo <= SMALL:
+            small.append((lo, hi, j))
+            continue
+        at = order[lo:hi]
+        key = words[j, at]
+        pivot = np.sort(key[[0, len(key) // 2, -1]])[1]
+        less, more = key < pivot, key > pivot
+        order[lo:hi] = np.concatenate([at[less], at[~(less | more)], at[more]])
+        a, b = lo + np.count_nonzero(less), hi - np.count_nonzero(more)
+        begins[[a, b]] = True
+        todo += [(lo, a, j), (a, b, j + 1), (b, hi, j)]
+    small.sort()
+    live = np.concatenate([np.empty(0, np.int64), *(np.arange(lo, hi) for lo, hi, _ in small)])
+    sizes = [hi - lo for lo, hi, _ in small]
+    group = np.repeat(np.array([x[0] for x in small], np.int64), sizes)
+    depth = np.repeat(np.array([x[2] for x in small], np.int64), sizes)
+    while len(live):
+        key = words[depth, order[live]]
+        by = np.lexsort((key, group))
+        order[live], key = order[live][by], key[by]
+        new = np.ones(len(live), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        begins[live[new]] = True
         size = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(size > 1, size)]
-    new = np.ones(n, bool)
-    new[1:] = group[1:] != group[:-1]
-    return order, np.cumsum(new) - 1
+        group = np.repeat(live[new], size)
+        on = (np.repeat(size, size) > 1) & (depth + 1 < len(words))
+        live, group, depth = live[on], group[on], depth[on] + 1
+    return order, np.cumsum(begins[:n]) - 1
 
 
 def _blocks(id_col: str, text_col: str, size: int):
@@ -174,6 +203,7 @@ def _blocks(id_col: str, text_col: str, size: int):
             out.write_table(table)
         return sink.getvalue().to_pybytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
 
@@ -227,20 +257,27 @@ class Job:
     def grams(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blk, block in _opened(pa.table(batch), self.id_col, self.text_col):
-                g, several = _distinct(Runs(block, self.length, self.k), block.ids)
+                runs = Runs(block, self.length, self.k)
+                g, several = _distinct(runs, block.ids)
                 cut = np.concatenate(([0], np.searchsorted(g, _limits(self.buckets)), [len(g)]))
                 some = np.flatnonzero(np.diff(cut))
+                # The sample of leading keys goes along, in buckets of its own.
+                runs.take(np.flatnonzero(_mix(runs.content + U(7)) % U(max(1, len(runs.start) // SAMPLED)) == 0))
+                lead = b"".join(x.ljust(self.lead, b"\0") for x in runs.leading(block.data, self.lead).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(some, pa.int32()),
-                        pa.array([blk] * len(some), pa.int64()),
-                        pa.array([g[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
-                        pa.array([np.packbits(several[cut[i] : cut[i + 1]]).tobytes() for i in some], pa.binary()),
+                        pa.array([*some, -1 - blk % self.buckets], pa.int32()),
+                        pa.array([blk] * (len(some) + 1), pa.int64()),
+                        pa.array([*(g[cut[i] : cut[i + 1]].tobytes() for i in some), lead], pa.binary()),
+                        pa.array([*(np.packbits(several[cut[i] : cut[i + 1]]).tobytes() for i in some), b""], pa.binary()),
                     ],
                     ["bucket", "blk", "grams", "several"],
                 )
 
     def repeated(self, table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            least = pa.array([None] * len(table), pa.binary())
+            return pa.table({"blk": table.column("blk"), "part": table.column("bucket"), "least": least, "bits": table.column("grams")})
         grams = [np.frombuffer(x, U) for x in table.column("grams").to_pylist()]
         several = [
             np.unpackbits(np.frombuffer(x, np.uint8), count=len(g)).astype(bool)
@@ -266,16 +303,18 @@ class Job:
             }
         )
 
-    def sample(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leads(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, block in _opened(pa.table(batch), self.id_col, self.text_col):
-                runs = Runs(block, self.length, self.k)
-                runs.take(np.flatnonzero(_mix(runs.content + U(7)) % U(max(1, len(runs.start) // 512)) == 0))
-                lead = runs.leading(block.data, self.lead)
-                yield pa.RecordBatch.from_arrays([pa.array([x.ljust(self.lead, b"\0") for x in lead.tolist()], pa.binary())], ["lead"])
+            keys = b"".join(batch.column("bits").to_pylist())
+            keys = [keys[i : i + self.lead] for i in range(0, len(keys), self.lead)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["lead"])
+
+    def contexts(self, block: Block, bits: dict[int, bytes]) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs at repeated k-grams; of distinct contexts, the first run and the part; the context of each run.
 
-    def contexts(self, block: Block, bits: dict[int, bytes]) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs at repeated k-grams; of distinct contexts, the first run and the part; the context of each run."""
+        Runs whose leading key spans several splitters come last, as the first
+        places of their single windows.
+        """
         runs = Runs(block, self.length, self.k)
         g, _ = _distinct(runs, block.ids)
         cut = np.concatenate(([0], np.searchsorted(g, _limits(self.buckets)), [len(g)]))
@@ -287,33 +326,46 @@ class Job:
             runs.take(np.flatnonzero(flags[np.searchsorted(g, runs.gram)]))
         lead = runs.leading(block.data, self.lead)
         lo, hi = (np.searchsorted(self.splitters, lead, side=s) for s in ("left", "right"))
-        if (hot := hi - lo > 1).any():
-            # A leading key over several splitters: single windows, dealt by their bytes.
-            reps = np.where(hot, runs.end - runs.start + 1, 1)
-            step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            runs.take(np.repeat(np.arange(len(reps)), reps))
-            lo, hi, hot = (np.repeat(x, reps) for x in (lo, hi, hot))
-            runs.start = runs.start + step
-            runs.end = np.where(hot, runs.start, runs.end)
-            for i in np.flatnonzero(hot):
-                s = runs.start[i]
-                digest = hashlib.blake2b(block.data[s : s + self.length].tobytes(), digest_size=8).digest()
-                runs.content[i] = int.from_bytes(digest, "little")
-            dealt = lo + ((runs.content >> U(17)) % np.maximum(hi - lo, 1).astype(U)).astype(np.int64)
-            # Other keys go where they go in a block without a hot one.
-            hi = np.where(hot, dealt, hi)
+        hot = np.flatnonzero(hi - lo > 1)
+        reps = runs.end[hot] - runs.start[hot] + 1
+        windows = np.repeat(runs.start[hot], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        cold = np.flatnonzero(hi - lo <= 1)
+        runs.take(cold)
+        hi = hi[cold]
         _, first, which = np.unique(runs.content, return_index=True, return_inverse=True)
         part = hi[first]
         by = np.argsort(part, kind="stable")
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        return runs, first[by], part[by], rank[which]
+        return runs, first[by], part[by], rank[which], windows
+
+    def digests(self, block: Block, windows: np.ndarray) -> np.ndarray:
+        data, n = memoryview(block.data), self.length
+        made = b"".join(hashlib.blake2b(data[s : s + n], digest_size=16).digest() for s in windows.tolist())
+        return np.frombuffer(made, "V16")
+
+    def common(self, blocks: pa.Table, notes: pa.Table) -> pa.Table:
+        """Of a block's windows under common leading keys, the distinct ones with their least document."""
+        bits = dict(zip(notes.column("part").to_pylist(), notes.column("bits").to_pylist(), strict=True))
+        out = {"blk": [], "digest": [], "least": []}
+        for blk, block in _opened(blocks, self.id_col, self.text_col):
+            *_, windows = self.contexts(block, bits)
+            if not len(windows):
+                continue
+            doc = block.ids[np.searchsorted(block.bounds, windows, side="right") - 1]
+            digest, of = np.unique(self.digests(block, windows).view("S16"), return_inverse=True)
+            least = np.full(len(digest), _LAST)
+            np.minimum.at(least, of, doc)
+            out["blk"] += [blk] * len(digest)
+            out["digest"] += [x.ljust(16, b"\0") for x in digest.tolist()]
+            out["least"] += least.tolist()
+        return pa.table({"blk": pa.array(out["blk"], pa.int64()), "digest": pa.array(out["digest"], pa.binary()), "least": pa.array(out["least"], pa.int64())})
 
     def send(self, blocks: pa.Table, notes: pa.Table) -> pa.Table:
         bits = dict(zip(notes.column("part").to_pylist(), notes.column("bits").to_pylist(), strict=True))
         out = {"part": [], "blk": [], "size": [], "off": [], "least": [], "text": []}
         for blk, block in _opened(blocks, self.id_col, self.text_col):
-            runs, first, part, _ = self.contexts(block, bits)
+            runs, first, part, *_ = self.contexts(block, bits)
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else [0]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 rows = first[a:b]
@@ -379,17 +431,19 @@ class Job:
         width = self.length - self.k + 1
 
         def run(blocks: pa.Table, notes: pa.Table) -> pa.Table:
-            asked, answers = {}, {}
+            asked, answers, lower = {}, {}, {}
             for part, least, bits in zip(*(notes.column(c).to_pylist() for c in ("part", "least", "bits")), strict=True):
-                if part >= 0:
+                if part == HOT:
+                    lower[bits] = int.from_bytes(least, "big")
+                elif part >= 0:
                     asked[part] = bits
                 else:
                     answers[-1 - part] = (np.frombuffer(least, np.int64), np.frombuffer(bits, np.uint8).reshape(-1, -(-width // 8)))
             out = []
             for _, block in _opened(blocks, self.id_col, self.text_col):
                 edge = np.zeros(len(block.data) + 1, np.int32)
+                runs, _, _, which, windows = self.contexts(block, asked)
                 if answers:
-                    runs, _, _, which = self.contexts(block, asked)
                     lowest = np.concatenate([answers[p][0] for p in sorted(answers)])[which]
                     masks = np.concatenate([answers[p][1] for p in sorted(answers)])[which]
                     doc = block.ids[runs.doc]
@@ -400,6 +454,12 @@ class Job:
                     i, shift = np.nonzero(np.unpackbits(masks[rest], axis=1, count=width))
                     np.add.at(edge, runs.start[rest[i]] + shift, 1)
                     np.add.at(edge, runs.start[rest[i]] + shift + self.length, -1)
+                if lower:
+                    doc = block.ids[np.searchsorted(block.bounds, windows, side="right") - 1]
+                    low = np.array([lower.get(x, _LAST) for x in map(bytes, self.digests(block, windows).tolist())], np.int64)
+                    later = windows[doc > low]
+                    np.add.at(edge, later, 1)
+                    np.add.at(edge, later + self.length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans, kept = [], []
                 for lo, hi in zip(block.bounds[:-1], block.bounds[1:], strict=True):
@@ -437,46 +497,66 @@ def remove_repeats(
     docs = docs.drop("spans", "kept")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     k = max(1, length // 3)
-    count = max(1, -(-total // (4 * block_bytes)))
+    count = bucket_count(spark, total, block_bytes)
     anchors = 2 * total // (length - k + 2) + 1
     job = Job(id_col, text_col, length, k, max(1, -(-anchors // bucket_rows)))
-    name = f"suffix_blocks_{scratch.root.rsplit('-', 1)[-1]}"
-    (
-        docs.mapInArrow(_blocks(id_col, text_col, block_bytes), "blk long, rows binary")
-        .write.bucketBy(count, "blk")
-        .option("path", f"{scratch.root}/blocks")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    blocks = spark.table(name)
+    blocks = scratch.save_bucketed(docs.mapInArrow(_blocks(id_col, text_col, block_bytes), "blk long, rows binary"), count, "blk")
     note = "blk long, part int, least binary, bits binary"
-    grams = blocks.mapInArrow(job.grams, "bucket int, blk long, grams binary, several binary")
-    asked = scratch.save(grams.groupBy("bucket").applyInArrow(lambda t: job.repeated(t), note))
-    # Splitters only balance the buckets: a bounded sample of blocks gives them.
-    some = blocks.where(F.pmod(F.xxhash64("blk"), F.lit(max(1, total // block_bytes // 64))) == 0)
-    leads = sorted(bytes(r[0]) for r in some.mapInArrow(job.sample, "lead binary").collect())
-    parts = max(1, -(-total // block_bytes))
-    if leads and parts > 1:
-        job.splitters = np.array([leads[i * len(leads) // parts] for i in range(1, parts)], f"S{job.lead}")
+    grams = blocks.mapInArrow(tidy(job.grams), "bucket int, blk long, grams binary, several binary")
+    told = scratch.save(grams.groupBy("bucket").applyInArrow(lambda t: job.repeated(t), note))
+    job.splitters = _splitters(told.where("part < 0").select("bits").mapInArrow(tidy(job.leads), "lead binary"), job, min(BUCKETS, total // block_bytes), scratch)
+    asked = told.where("part >= 0")
     sent = (
         blocks.groupBy("blk")
         .cogroup(asked.groupBy("blk"))
         .applyInArrow(lambda a, b: job.send(a, b), "part int, blk long, size binary, off binary, least binary, text binary")
     )
     answers = scratch.save(sent.groupBy("part").applyInArrow(lambda t: job.compare(t), note))
+    notes = asked.unionByName(answers)
+    if (job.splitters[1:] == job.splitters[:-1]).any():
+        hot = blocks.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(lambda a, b: job.common(a, b), "blk long, digest binary, least long")
+        hot = scratch.save(hot)
+        lowest = hot.groupBy("digest").agg(F.min("least").alias("m"))
+        # A block is told only of windows that a smaller document elsewhere has, or that two of its own have.
+        hot = hot.join(lowest, "digest").select("blk", F.lit(HOT).alias("part"), F.unhex(F.lpad(F.hex("m"), 16, "0")).alias("least"), F.col("digest").alias("bits"))
+        notes = notes.unionByName(scratch.save(hot))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", spans), T.StructField("kept", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = (
         blocks.groupBy("blk")
-        .cogroup(asked.unionByName(answers).groupBy("blk"))
+        .cogroup(notes.groupBy("blk"))
         .applyInArrow(job.cover(to_arrow_schema(schema)), schema)
     )
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
 
 
+def _splitters(leads: DataFrame, job: Job, parts: int, scratch: Scratch) -> np.ndarray:
+    """Leading keys that cut the sample into ``parts`` of equal size; a common key comes several times.
+
+    The sample is sorted in ranges; the driver gets the splitters alone and a
+    count for each range.
+    """
+    if parts < 2:
+        return np.empty(0, f"S{job.lead}")
+    ranges = leads.repartitionByRange(max(1, parts // 1024 + 1), "lead").sortWithinPartitions("lead")
+    number = F.monotonically_increasing_id()
+    ranges = scratch.save(ranges.select("lead", F.shiftright(number, 33).alias("range"), number.bitwiseAND((1 << 33) - 1).alias("at")))
+    sizes = sorted((r.range, r["count"]) for r in ranges.groupBy("range").count().collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return np.empty(0, f"S{job.lead}")
+    ends = np.cumsum([n for _, n in sizes])
+    before = ranges.sparkSession.createDataFrame([(r, int(e - n)) for (r, n), e in zip(sizes, ends, strict=True)], "range long, before long")
+    place = F.col("before") + F.col("at")
+    # The i-th splitter stands at place i * total / parts.
+    cut = F.floor((place * parts + parts - 1) / total) != F.floor((place * parts - 1) / total)
+    found = ranges.join(F.broadcast(before), "range").where(cut & (place > 0))
+    found = found.select("lead", place.alias("place")).collect()
+    return np.array([bytes(r.lead) for r in sorted(found, key=lambda r: r.place)], f"S{job.lead}")
+
+
 _BLANK = frozenset(b" \t\n\v\f\r")
 
 
@@ -501,6 +581,7 @@ def cut_passages(
     stay whole. Null texts stay null.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []

@@ -84,6 +84,8 @@ def mix(
     The number of sources is taken as bounded (their targets pass the driver);
     the number of documents isn't.
     """
+    if limit < 1 or limit != int(limit):
+        raise ValueError("limit is a whole number: documents are taken whole")
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     docs = docs.drop("size", "source_size", "target", "taken")

@@ -6,11 +6,11 @@ neighbours of neighbours: every node gathers the nodes that are its neighbours
 or have it as theirs, compares them with each other, and offers each one the
 others that beat its present list. Queries walk the graph greedily: they start
 at a block's members and keep expanding the best nodes not yet expanded until
-the beam no longer changes. A sample of the queries is compared with every node;
-while the walk misses too many of the sample's neighbours, the beam doubles and
-the walk goes on, and where a walk could meet every node, all queries are
-compared with all nodes. Scores are the cosines of the original vectors in
-double precision.
+the beam no longer changes. A sample of the queries walks first and is compared
+with every node; while its walk misses too many neighbours, the beam doubles and
+the walk goes on. Then all queries walk with that beam; where a walk could meet
+every node, they are compared with all nodes. Scores are the cosines of the
+original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bucket_count
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
@@ -144,6 +144,8 @@ def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, *, k: int, s
     crowd = blocks.groupBy("tree", "code").agg(F.count("*").alias("n"))
     cells = F.greatest(F.lit(1), F.floor(F.col("n") / (2 * cell))).cast("long")
     blocks = blocks.join(crowd, ["tree", "code"]).withColumn("cell", F.pmod(F.xxhash64("node"), cells))
+    # Dealt by the cell as well: else the join's partitioning keeps a block's cells in one task.
+    blocks = blocks.repartition("tree", "code", "cell")
     start = blocks.groupBy("tree", "code", "cell").applyInArrow(_block_pairs(k, cell), "src long, dst long, sim float")
     graph = scratch.save(_kept(start.withColumn("fresh", F.lit(True)), k))
     for _ in range(rounds):
@@ -195,7 +197,8 @@ def search(
     components take no part on either side; neither do null ids. Equal vectors
     share a node and are found by their smallest ids; rows that repeat an id
     count once for each distinct vector. Vectors of other lengths than the
-    commonest raise an error. Empty tables give an empty result.
+    commonest (of equally common ones, the shortest) take no part. Further
+    columns are ignored. Empty tables give an empty result.
 
     ``beam`` is where the walk begins; it grows until ``probes`` sampled queries
     find the share ``recall`` of their neighbours by brute force. ``rounds``
@@ -205,7 +208,12 @@ def search(
     scratch = Scratch(spark, "neighbours")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = scratch.save(clean(vectors, id_col, vector_col).withColumn("node", F.xxhash64("v")))
-    asked = scratch.save(clean(queries, id_col, vector_col).distinct())
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if lengths is None:
+        return empty
+    # Lengths are settled before vectors are packed into matrices.
+    rows = rows.where(F.size("v") == lengths.d)
+    asked = scratch.save(clean(queries, id_col, vector_col).where(F.size("v") == lengths.d).distinct())
     # A node's members: as many of its smallest ids as a result can need.
     members = rows.select("node", "id").distinct()
     part = F.pmod(F.xxhash64("id"), F.lit(64))
@@ -224,18 +232,20 @@ def search(
                 )
 
     nodes = scratch.save(distinct.mapInArrow(unit, "node long, u array<float>"))
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.size("u")).alias("hi"), F.min(F.size("u")).alias("lo")).first()
-    if not facts.n or asked.isEmpty():
+    count = nodes.count()
+    if not count or asked.isEmpty():
         return empty
-    if facts.hi != facts.lo:
-        raise ValueError("vectors differ in length")
-    rounds += max(0, int(np.ceil(np.log2(facts.n))) - 11)
-    graph, planes = build(nodes, facts.n, facts.hi, scratch, k=k, sample=sample, rounds=rounds, trees=trees, cell=cell)
+    # Every step meets vectors by node: bucketed, they aren't shuffled again.
+    buckets = bucket_count(spark, count, 4096, 1)
+    nodes = scratch.save_bucketed(nodes.repartition(buckets, "node"), buckets, "node")
+    rounds += max(0, int(np.ceil(np.log2(count))) - 11)
+    graph, planes = build(nodes, count, lengths.d, scratch, k=k, sample=sample, rounds=rounds, trees=trees, cell=cell)
     # Search goes along edges in both directions, a node's most similar ones first.
     both = graph.select("src", "dst", "sim").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     ways = both.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
-    ways = scratch.save(ways.groupBy("src").agg(F.collect_list("dst").alias("next")))
+    ways = ways.groupBy("src").agg(F.collect_list("dst").alias("next"))
+    ways = scratch.save_bucketed(ways.repartition(buckets, "src"), buckets, "src")
 
     def coded(batches):
         for batch in batches:
@@ -265,36 +275,48 @@ def search(
     anyone = [r.node for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(expand).collect()]
     anywhere = asked.select(F.col("id").alias("query"), F.explode(F.array(*map(F.lit, anyone))).alias("node"))
     units = scratch.save(asked_codes.where("tree = 0").select("query", "q"))
-    found = scratch.save(_scored(begin.unionByName(anywhere).distinct(), nodes, units).withColumn("done", F.lit(False)))
+    begin = scratch.save(begin.unionByName(anywhere).distinct())
+
+    def walked(found: DataFrame, units: DataFrame, beam: int, expand: int) -> DataFrame:
+        """The nodes met when every node of the beam is expanded, the ``expand`` best at a time."""
+        while True:
+            w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+            front = Window.partitionBy("query").orderBy("r")
+            ranked = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam)
+            ready = ranked.where(~F.col("done")).withColumn("p", F.row_number().over(front)).where(F.col("p") <= expand)
+            ready = scratch.save(ready.select("query", "node"))
+            if ready.isEmpty():
+                scratch.drop(ready)
+                return found
+            reached = ready.join(ways, F.col("node") == F.col("src")).select("query", F.explode("next").alias("node")).distinct()
+            new = reached.join(found.select("query", "node"), ["query", "node"], "left_anti")
+            scored = _scored(new, nodes, units).withColumn("done", F.lit(False))
+            marked = found.join(ready.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
+                "query", "node", "sim", (F.col("done") | F.col("now").isNotNull()).alias("done")
+            )
+            old, found = found, scratch.save(marked.unionByName(scored))
+            scratch.drop(old, ready)
+
+    def started(begin: DataFrame, units: DataFrame) -> DataFrame:
+        return scratch.save(_scored(begin, nodes, units).withColumn("done", F.lit(False)))
+
     own = asked.select(F.col("id").alias("query"), F.xxhash64("v").alias("node"))
-    probe = asked.select("id").distinct().orderBy(F.xxhash64("id")).limit(probes).select(F.col("id").alias("query"))
-    truth = _nearest(units.join(F.broadcast(probe), "query"), nodes, top + 1).join(own, ["query", "node"], "left_anti")
+    probe = scratch.save(asked.select("id").distinct().orderBy(F.xxhash64("id")).limit(probes).select(F.col("id").alias("query")))
+    tried = scratch.save(units.join(F.broadcast(probe), "query"))
+    truth = _nearest(tried, nodes, top + 1).join(own, ["query", "node"], "left_anti")
     truth = scratch.save(_first(truth, top).select("query", "node"))
     wanted = truth.count()
-    while True:
-        w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        ranked = found.withColumn("r", F.row_number().over(w))
-        front = Window.partitionBy("query").orderBy("r")
-        ready = ranked.where((F.col("r") <= beam) & ~F.col("done")).withColumn("p", F.row_number().over(front)).where(F.col("p") <= expand)
-        ready = scratch.save(ready.select("query", "node"))
-        if ready.isEmpty():
-            if truth.join(found.select("query", "node"), ["query", "node"], "left_semi").count() >= recall * wanted:
-                break
-            beam, expand = 2 * beam, 2 * expand
-            if 2 * k * beam >= facts.n:
-                old, found = found, scratch.save(_first(_nearest(units, nodes, beam), beam))
-                scratch.drop(old, ready)
-                break
-            scratch.drop(ready)
-            continue
-        reached = ready.join(ways, F.col("node") == F.col("src")).select("query", F.explode("next").alias("node")).distinct()
-        new = reached.join(found.select("query", "node"), ["query", "node"], "left_anti")
-        scored = _scored(new, nodes, units).withColumn("done", F.lit(False))
-        marked = found.join(ready.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
-            "query", "node", "sim", (F.col("done") | F.col("now").isNotNull()).alias("done")
-        )
-        old, found = found, scratch.save(marked.unionByName(scored))
-        scratch.drop(old, ready)
+    found = started(begin.join(F.broadcast(probe), "query"), tried)
+    while 2 * k * beam < count:
+        found = walked(found, tried, beam, expand)
+        if truth.join(found.select("query", "node"), ["query", "node"], "left_semi").count() >= recall * wanted:
+            break
+        beam, expand = 2 * beam, 2 * expand
+    scratch.drop(found)
+    if 2 * k * beam < count:
+        found = walked(started(begin, units), units, beam, expand)
+    else:
+        found = scratch.save(_first(_nearest(units, nodes, beam), beam))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
     best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).select("query", "node")
     exact = best.join(distinct, "node").join(asked.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query")

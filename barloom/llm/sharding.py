@@ -24,9 +24,10 @@ FAN = 1024
 
 
 def text_dimensions(text: Column) -> list[Column]:
-    """Dimensions that equal texts share: characters, bytes a character, checksum."""
+    """Dimensions that equal texts share: characters, bytes a character, and shares of spaces and of digits."""
     chars, size = (F.coalesce(f(text).cast("long"), F.lit(0)) for f in (F.length, F.octet_length))
-    return [chars.cast("long"), F.coalesce(F.try_divide(size * 1_000_000, chars), F.lit(0)).cast("long"), _crc(text)]
+    spaces, digits = (chars - F.coalesce(F.length(F.translate(text, x, "")).cast("long"), F.lit(0)) for x in (" ", "0123456789"))
+    return [chars, *(F.coalesce(F.try_divide(n * 1_000_000, chars), F.lit(0)).cast("long") for n in (size, spaces, digits))]
 
 
 def _crc(text: Column) -> Column:

@@ -487,3 +487,180 @@ def test_pipeline(spark, tmp_path):
     before = sum(len((r.text or "").split()) for r in seen["suffix_dedup"])
     assert abs(sum(len((r.text or "").split()) for r in seen["mixing"]) / before - 1.5) < 0.05
     assert len(seen["pieces"]) == len(seen["mixing"]) and all(r.n_pieces == len(r.ids) for r in seen["pieces"])
+
+
+# --- parts of operators, and the registered queries ---
+
+
+def test_multikey_sort():
+    from barloom.llm.suffix_dedup import multikey_sort
+
+    rng = np.random.default_rng(21)
+    for n, width in ((0, 10), (1, 10), (7, 3), (5000, 9), (20_000, 60)):
+        rows = rng.integers(0, 3, (n, width)).astype(np.uint8)
+        rows[::3] = rows[:1]
+        order, group = multikey_sort(rows)
+        data = [r.tobytes() for r in rows]
+        assert [data[i] for i in order] == sorted(data)
+        names = {x: i for i, x in enumerate(sorted(set(data)))}
+        assert group.tolist() == [names[x] for x in sorted(data)]
+
+
+def test_runs_over_chunk_borders(monkeypatch):
+    import pyarrow as pa
+
+    from barloom.llm import suffix_dedup as D
+
+    rng = np.random.default_rng(22)
+    texts = ["".join(rng.choice(list("abcd"), n)) for n in (700, 20, 49, 50, 3000, 0, 260)]
+    block = D.Block(pa.table({"id": list(range(len(texts))), "text": texts}), "id", "text")
+    whole = D.Runs(block, 50, 16)
+    monkeypatch.setattr(D, "_CHUNK", 97)
+    cut = D.Runs(block, 50, 16)
+    # Chunks may divide a run, but no window and no anchor changes.
+    spread = lambda r: {p: a for s, e, a in zip(r.start, r.end, r.anchor, strict=True) for p in range(s, e + 1)}
+    assert spread(whole) == spread(cut)
+    assert len(spread(whole)) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    from barloom.llm import near_dedup as N
+
+    rng = np.random.default_rng(23)
+    texts = [" ".join("".join(rng.choice(list("abé"), int(rng.integers(1, 9)))) for _ in range(n)).encode() for n in (0, 1, 400, 900)]
+    texts += [b"x" * 5000, b"  \t ", b"a" * 300 + b" " + b"B" * 900 + b" tail"]
+    whole = N.shingle_sets(texts, 2)
+    monkeypatch.setattr(N, "CHUNK", 64)
+    for a, b in zip(whole, N.shingle_sets(texts, 2), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_pieces_in_parts_and_caches(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    from barloom.llm import pieces as P
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(24)
+    text = "".join(rng.choice(list("ab the  ▁\n éς漢.")) for _ in range(4000)) + "x" * 3000
+    monkeypatch.setattr(P, "PART", 200)
+    monkeypatch.setattr(P, "CACHE_BYTES", 40_000)
+    monkeypatch.setattr(P, "CACHE_PAIRS", 200)
+    model = P.Pieces(path)
+    for _ in range(2):
+        got = model.encode([text, "", text[:100]])
+        assert [np.frombuffer(x, "<i4").tolist() for x in got] == [library.encode(t) for t in (text, "", text[:100])]
+    for i in range(300):
+        model.encode([f"w{i}a w{i}b w{i}c"])
+        held = sum(200 + 6 * len(w) for w in (*model.cache.young, *model.cache.old))
+        assert held <= 2 * 40_000 and len(model.stable.young) + len(model.stable.old) <= 2 * 200
+    assert P.Surfaces(path).decode(np.array(library.encode(text), np.int32)).decode() == text.replace("▁", " ")
+
+
+def test_subsequence_kernel():
+    from itertools import combinations
+
+    from barloom.llm.toxicity import DECAY, ORDER, _codes, kernel
+
+    def brute(s, t):
+        total = 0.0
+        for a in combinations(range(len(s)), ORDER):
+            for b in combinations(range(len(t)), ORDER):
+                if [s[i] for i in a] == [t[j] for j in b]:
+                    total += DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
+        return total
+
+    words = ["^idiot", "^id.iot", "^idi", "^moron", "^clown", "^mooron", "^aaaa", "^abcabc"]
+    for s in words:
+        got = kernel(np.broadcast_to(_codes([s, *words])[:1], _codes([s, *words])[1:].shape), _codes([s, *words])[1:])
+        assert np.allclose(got, [brute(s, t) for t in words], rtol=1e-4)
+
+
+@pytest.mark.parametrize("shards", [2, 5])
+def test_shards_are_leaves_of_the_tree(spark, shards):
+    """The tree by hand: the widest dimension, and the rows up to the weighted quantile to the left."""
+    from barloom.llm.sharding import kd_shards, text_dimensions
+
+    rng = np.random.default_rng(25)
+    texts = ["".join(rng.choice(list("ab 12é"), int(rng.integers(0, 90)))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", F.octet_length("text") + 1, F.xxhash64("text"), F.array(*text_dimensions(F.col("text")))).collect()
+    rows = [(tuple(r[3]), r[2], r[0], r[1]) for r in rows]
+    wide = [max(1, max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) for d in range(4)]
+    want = {}
+
+    def divide(part, first, n):
+        if n == 1:
+            want.update(dict.fromkeys((r[2] for r in part), first))
+            return
+        spread = [(max(r[0][d] for r in part) - min(r[0][d] for r in part)) / wide[d] for d in range(4)]
+        d = spread.index(max(spread))
+        part = sorted(part, key=lambda r: (r[0][d], r[1], r[2]))
+        need, total, cut = sum(r[3] for r in part) * (n // 2) / n, 0, 0
+        for i, r in enumerate(part):
+            total += r[3]
+            cut = i + 1 if total - r[3] / 2 <= need else cut
+        divide(part[:cut], first, n // 2)
+        divide(part[cut:], first + n // 2, n - n // 2)
+
+    divide(rows, 0, shards)
+    got = {r.doc_id: r.shard for r in kd_shards(docs, shards=shards, slack=0.0).collect()}
+    assert got == want
+
+
+def test_tiff_files_that_lie(spark):
+    import struct
+
+    from barloom.llm.tiff import read_pages, write_gray
+
+    def tiff(*tags, data=b"\1" * 100):
+        body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0"
+        return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + body
+
+    size = [(256, 4, 1, 10), (257, 4, 1, 10), (258, 3, 1, 8)]
+    strip = [(273, 4, 1, 8), (278, 4, 1, 10), (279, 4, 1, 100)]
+    files = [
+        tiff(*size, *strip), tiff((256, 4, 0, 10), *size[1:], *strip), tiff(*size, (322, 4, 1, 0), (323, 4, 1, 8), (324, 4, 1, 8), (325, 4, 1, 64)),
+        tiff((256, 2, 1, 65), *size[1:], *strip), tiff((256, 4, 1, 1 << 20), (257, 4, 1, 1 << 20), (258, 3, 1, 8), (273, 4, 1, 8), (278, 4, 1, 1 << 20), (279, 4, 1, 100)),
+        tiff(*size), tiff(*size, (273, 4, 1, 900), *strip[1:]), tiff(*size, (273, 4, 1, 8), (278, 4, 1, 0), (279, 4, 1, 100)), tiff(*size, (277, 3, 1, 0), *strip),
+        tiff((256, 4, 1, 10), (257, 4, 1, 10), (258, 3, 1, 8), (259, 3, 1, 8), *strip), write_gray([np.zeros((4, 4), np.uint8)])[:60],
+    ]
+    got = sorted(read_pages(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id int, media binary")).collect(), key=lambda r: r.id)
+    assert [r.id for r in got] == list(range(len(files)))
+    assert bytes(got[0].pixels) == b"\1" * 100 and got[0].error is None
+    assert all(r.page is None and r.pixels is None and r.error for r in got[1:])
+
+
+def test_neighbours_of_mixed_lengths_and_ties(spark):
+    from barloom.llm.neighbours import search
+
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [3.0, 4.0, 0.0, 0.0]), (2, [3.0, 0.0, 4.0, 0.0]), (3, [3.0, 0.0, 0.0, 4.0]), (4, [0.0, 1.0, 0.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0] * 5), (7, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in search(vectors, vectors.where("vec_id in (0, 5)"), top=4).collect()}
+    # Three different vectors at the same cosine come by id.
+    assert [got[0, i] for i in (1, 2, 3, 4)] == [(1, 0.6), (2, 0.6), (3, 0.6), (4, 0.0)]
+    assert {q for q, _ in got} == {0}
+
+
+def test_registered_queries_keep_their_contracts(spark, tmp_path):
+    import hashlib
+
+    from barloom.llm import queries as Q
+
+    texts = [*base(), "é" * 70_000, "you idiot", "<|endoftext|>"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = lambda f: sorted(f(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    data = [(t or "").encode() for t in texts]
+    for r, d in zip(run(Q.op2_tiff), data, strict=True):
+        padded = d + b"\0" * (-len(d) % 64 or (0 if d else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(d), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature
+    assert all((r.n_bytes, r.over_limit) == (len(d), r.n_tokens > 2048) for r, d in zip(run(Q.op3_token_count), data, strict=True))
+    for r, d in zip(run(Q.op4_sharding), data, strict=True):
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(d) + 1, zlib.crc32(d), "bytes", None) and 0 <= r.shard < 8
+    for r in run(Q.op6_toxicity):
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch
+from barloom.llm.common import Scratch, close_scratch
 from barloom.llm.mixing import mix
 from barloom.llm.near_dedup import near_duplicates
 from barloom.llm.pieces import encode
@@ -37,11 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Decisions hold by id and text: rows that repeat both leave one, rows that
     repeat an id with another text are judged apart; rows with a null id stay.
+    Of rows with one id and text the one with the least hash of its columns stays.
     """
     found = near_duplicates(docs.select("doc_id", "text"), details=True).where("kept and doc_id is not null")
     alone = F.when(F.col("group").isNull(), F.col("mark"))
     kept = found.groupBy("doc_id", "group", alone).agg(F.min("mark").alias("__mark")).select("doc_id", "__mark").distinct()
-    w = Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    w = Window.partitionBy("doc_id", "__mark").orderBy(F.xxhash64(*hashed))
     known = docs.withColumn("__mark", F.xxhash64("text")).join(kept, ["doc_id", "__mark"], "left_semi")
     known = known.withColumn("__r", F.row_number().over(w)).where("__r = 1")
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
@@ -61,7 +63,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, sources weighed 5, 2, 1 for 150% of all words."""
+    """Documents as often as the mix takes them, sources weighed 5, 2, 1 for 150% of all words.
+
+    Null and empty texts have no words and are taken never; a null source is a source.
+    """
     found = mix(docs.withColumnsRenamed({"size": "__size", "taken": "__taken", "target": "__target", "source_size": "__source_size"}))
     times = F.when(F.col("size") > 0, F.try_divide("taken", "size")).otherwise(0).cast("int")
     found = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times)))
@@ -71,7 +76,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers of every document left, with their number."""
+    """Identifiers of every document left, with their number; null and empty texts have none, repeated rows stay."""
     import public_tokenizers
 
     found = encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -91,9 +96,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
+    """The last stage's rows for the documents of ``sf_dir``; what earlier stages wrote is removed."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        close_scratch(spark, keep=scratch)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

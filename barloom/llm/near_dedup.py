@@ -22,7 +22,9 @@ node, so copies cost no index entries.
    meets the pivot of its most crowded key, its reference; then pivots take the
    other keys. Pivots whose pairs are all settled leave the key, and the number
    of pivots for a key grows geometrically until nothing unsettled is left, so
-   no candidate is ever dropped. Members of a large group that can only be
+   no candidate is ever dropped. Nodes outside a key's largest component are
+   pivots first, and a key with no more of them than pivots is settled at once:
+   only pairs of different components are open. Members of a large group that can only be
    linked through what their reference lacks meet by that instead (see
    ``_referred``).
 4. Pairs whose signatures are over the distance are far below the threshold;
@@ -326,15 +328,35 @@ def _reaches(common: Column, sizes: Column, percent: int) -> Column:
 
 def _unreferred() -> list[Column]:
     none = [F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("common")]
-    return [*none, F.lit(False).alias("free"), F.lit(0).cast("long").alias("crowd")]
+    return [*none, F.lit(False).alias("free"), *_uncounted()]
 
 
-def _mixed(live: DataFrame) -> DataFrame:
-    """Rows of keys whose nodes are of several components; of keys with the same nodes, one stays. ``crowd``: their number."""
+def _uncounted() -> list[Column]:
+    return [F.lit(0).cast("long").alias("crowd"), F.lit(0).cast("long").alias("odds"), F.lit(True).alias("odd")]
+
+
+def _mixed(live: DataFrame, joined: bool = True) -> DataFrame:
+    """Rows of keys whose nodes are of several components; of keys with the same nodes, one stays.
+
+    ``crowd`` is their number, ``odds`` how many of them are outside the key's
+    largest component, and ``odd`` tells those. Unless components are
+    ``joined``, each node is its own and all but one are odd.
+    """
     mix = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    keys = live.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c"), F.max("free").alias("f"), *mix)
-    keys = keys.where("l < h").groupBy("c", "f", "x0", "x1").agg(F.min("key").alias("key"))
-    return live.drop("crowd").join(keys.select("key", F.col("c").alias("crowd")), "key").select(*live.columns)
+    part = live.groupBy(*(["key", "label"] if joined else ["key"])).agg(
+        F.count("*").alias("c"), F.max("label").alias("label" if not joined else "l"), F.max("free").alias("f"), *mix
+    )
+    if joined:
+        part = part.groupBy("key").agg(
+            F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("c"), F.max("f").alias("f"),
+            *(F.bit_xor(x).alias(x) for x in ("x0", "x1")),
+        )
+    else:
+        part = part.withColumn("m", F.struct(F.lit(1).cast("long").alias("c"), "label"))
+    keys = part.where("m.c < c").groupBy("c", "f", "x0", "x1").agg(F.min(F.struct("key", "m")).alias("k"))
+    keys = keys.select("k.key", F.col("c").alias("crowd"), (F.col("c") - F.col("k.m.c")).alias("odds"), F.col("k.m.label").alias("major"))
+    found = live.drop("crowd", "odds", "odd").join(keys, "key")
+    return found.withColumn("odd", F.col("label") != F.col("major")).select(*live.columns)
 
 
 def _referred(live: DataFrame, refs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -371,7 +393,7 @@ def _referred(live: DataFrame, refs: DataFrame, nodes: DataFrame, percent: int,
         outside.where("not most")
         .select(F.xxhash64("ref", "s").alias("key"), "node")
         .join(nodes.select("node", "central", "n", "label"), "node")
-        .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"), F.lit(0).cast("long").alias("crowd"))
+        .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"), *_uncounted())
     )
     return scratch.save(open_.select(*live.columns).unionByName(free))
 
@@ -475,18 +497,26 @@ def near_duplicates(
 
     labels = chosen.select("node", "n", "central", F.col("node").alias("label"))
     live = chosen.select(F.explode("keys").alias("key"), "node", "central", "n", F.col("node").alias("label"), *_unreferred())
-    live = scratch.save(_mixed(live))
+    live = scratch.save(_mixed(live, joined=False))
     # Round 0: each node and the pivot of its most crowded key.
     tested, salts = None, 0
     while not live.isEmpty():
         first = salts == 0
         salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(max(1, salts)))
         of = {"node": "pivot", "n": "pn", "label": "plabel", "ref": "pref", "common": "pcommon"}
-        pivots = scratch.save(
-            live.groupBy("key", salt.alias("salt"))
-            .agg(F.max(F.struct("central", "node", "n", "label", "ref", "common")).alias("p"), F.max("crowd").alias("pcrowd"))
+        # Once the odd nodes of a key are pivots all its open pairs are settled.
+        few = F.col("odds") <= (0 if first else salts)
+        best = ["central", "node", "n", "label", "ref", "common"]
+        pivots = (
+            live.where(~few)
+            .groupBy("key", salt.alias("salt"))
+            .agg(F.max(F.struct(*([] if first else ["odd"]), *best)).alias("p"), F.max("crowd").alias("pcrowd"))
             .select("key", "pcrowd", *(F.col(f"p.{k}").alias(v) for k, v in of.items()))
         )
+        if not first:
+            every = live.where(few & F.col("odd"))
+            pivots = pivots.unionByName(every.select("key", F.col("crowd").alias("pcrowd"), *(F.col(k).alias(v) for k, v in of.items())))
+        pivots = scratch.save(pivots)
         rows = live
         if first:
             top = live.groupBy("node").agg(F.max(F.struct("crowd", "key")).alias("m"))
@@ -513,12 +543,12 @@ def near_duplicates(
         done = pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
         tested = done if tested is None else tested.unionByName(done)
         links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b")).distinct()
-        left = live if first else live.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        left = live if first else live.where(~few).join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         if not links.isEmpty():
             joined = connected_components(links, scratch).select(F.col("id").alias("label"), "component")
             joined = scratch.save(joined)
             relabel = F.coalesce("component", "label").alias("label")
-            left = left.join(joined, "label", "left").select("key", "node", "central", "n", relabel, "ref", "common", "free", "crowd")
+            left = left.join(joined, "label", "left").select(*live.columns[:4], relabel, *live.columns[5:])
             labels = scratch.save(labels.join(joined, "label", "left").select("node", "n", "central", relabel))
         if first:
             refs = checked.where("rest is not null").select("node", F.col("pivot").alias("ref"), "common", "rest")

@@ -15,7 +15,7 @@ node, so copies cost no index entries.
    folder, with their sets' keys; later steps meet it without shuffling texts.
 2. Each block sends the packed keys of the sets that it owns to hash buckets,
    which answer how many nodes have each key. Only sets with a key that another
-   node has go on, with signature and shingles, into a table bucketed by block.
+   node has go on, with signature and shingles, into a table bucketed by node.
 3. Within a key no pairs are enumerated: the most central nodes act as pivots,
    every member is held against them, and what one component already joins is
    not compared again. Of keys with the same members one stays. First each node
@@ -28,7 +28,8 @@ node, so copies cost no index entries.
    linked through what their reference lacks meet by that instead (see
    ``_referred``).
 4. Pairs whose signatures are over the distance are far below the threshold;
-   the full sets of the others are fetched and compared.
+   the full sets of the others are compared: a pivot's set travels to the node,
+   whose own stays where it is.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,9 +158,11 @@ READ = (
     "blk long, members array<struct<id:long,n:long,hash:binary,place:long,mark:long>>, "
     "lens binary, texts binary, signs binary"
 )
-CHOSEN = "blk long, node long, n long, central long, keys array<long>, sign array<int>, shingles array<long>"
+CHOSEN = "node long, n long, central long, keys array<long>, sign array<int>, shingles array<long>"
 #: Nodes of keys with more members get a reference.
 CROWD = 16
+#: Of the table of chosen sets, unless it is large.
+MOST_BUCKETS = 1 << 12
 _MEMBER = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("hash", pa.binary()), ("place", pa.int64()), ("mark", pa.int64())])
 
 
@@ -291,7 +293,7 @@ class _Keys:
         """The sets with a key that another node has: size, those keys, signature and shingles."""
         told = zip(notes.column("bucket").to_pylist(), notes.column("held").to_pylist(), strict=True)
         held = np.frombuffer(b"".join(h for _, h in sorted(x for x in told if x[1] is not None)), np.uint8)
-        nodes, blks, sizes, central, keys, signs, sets = [], [], [], [], [], [], []
+        nodes, sizes, central, keys, signs, sets = [], [], [], [], [], []
         for blk, lens, texts, packed in zip(*(blocks.column(c).to_pylist() for c in ("blk", "lens", "texts", "signs")), strict=True):
             own, sign, mine = self._owned(packed, notes)
             if not len(own) or not len(held):
@@ -302,7 +304,6 @@ class _Keys:
             ends = np.cumsum([0, *np.frombuffer(lens, np.int64)])
             found = shingle_sets([texts[ends[i] : ends[i + 1]] for i in own[rows]], self.size)
             nodes.append((blk << PLACE) | own[rows])
-            blks += [blk] * len(rows)
             sizes += map(len, found)
             central.append(times[rows].sum(axis=1, dtype=np.int64))
             keys += [mine[r][times[r] > 0] for r in rows]
@@ -311,16 +312,12 @@ class _Keys:
         cat = lambda a: np.concatenate([np.empty(0, np.int64), *a])
         return pa.table(
             {
-                "blk": pa.array(blks, pa.int64()), "node": cat(nodes), "n": pa.array(sizes, pa.int64()), "central": cat(central),
+                "node": cat(nodes), "n": pa.array(sizes, pa.int64()), "central": cat(central),
                 "keys": _lists(keys), "sign": pa.array(signs, pa.list_(pa.int32())), "shingles": _lists(sets),
             }
         )
 
 
-def _fetched(wanted: pa.Table, sets: pa.Table) -> pa.Table:
-    return sets.filter(pc.is_in(sets.column("node"), wanted.column("node").combine_chunks())).select(["node", "shingles"])
-
-
 def _reaches(common: Column, sizes: Column, percent: int) -> Column:
     """Whether sets with ``sizes`` rows in all and ``common`` ones reach the threshold."""
     return (100 + percent) * common >= percent * sizes
@@ -469,30 +466,39 @@ def near_duplicates(
         .cogroup(copies.unionByName(answers).groupBy("blk"))
         .applyInArrow(lambda a, b: job.choose(a, b), CHOSEN)
     )
-    # Written as it was grouped: sets are fetched by block and not shuffled.
-    chosen = scratch.save_bucketed(chosen, bucket_count(spark, total, block_bytes), "blk")
+    # Dealt once by node; later joins by node leave signatures and sets where they are.
+    dealt = max(bucket_count(spark, total, block_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS))
+    chosen = scratch.save_bucketed(chosen.repartition(dealt, "node"), dealt, "node")
     member = scratch.save(member)
     scratch.drop(read, answers, copies)
 
+    def beside(pairs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """A table of the pivots' values, and the pairs with the node's value (mine) and the pivot's (theirs).
+
+        The pivots' values are saved without buckets, so that pairs of a pivot
+        that many nodes meet can be split by the adaptive skew join.
+        """
+        wanted = pairs.select(F.col("pivot").alias("node")).distinct()
+        theirs = chosen.select("node", column).join(wanted, "node", "left_semi")
+        theirs = scratch.save(theirs.select(F.col("node").alias("pivot"), F.col(column).alias("theirs")))
+        mine = chosen.select("node", F.col(column).alias("mine"))
+        return theirs, pairs.join(theirs, "pivot").join(mine, "node")
+
     def compared(pairs: DataFrame) -> DataFrame:
         """(node, pivot, label, plabel, common, rest, linked) of the pairs near enough by their signatures, and of references."""
-        one, two = (chosen.select(F.col("node").alias(c), F.col("sign").alias(f"{c}_sign")) for c in ("node", "pivot"))
-        same = F.size(F.filter(F.zip_with("node_sign", "pivot_sign", lambda x, y: x == y), lambda x: x))
-        near = pairs.join(one, "node").join(two, "pivot").where(F.col("refer") | (same >= chunks * width - distance))
+        same = F.size(F.filter(F.zip_with("mine", "theirs", lambda x, y: x == y), lambda x: x))
+        signs, signed = beside(pairs, "sign")
+        near = signed.where(F.col("refer") | (same >= chunks * width - distance))
         near = scratch.save(near.select(*pairs.columns))
-        wanted = near.select("node").unionByName(near.select(F.col("pivot").alias("node"))).distinct()
-        wanted = wanted.select("node", F.shiftright("node", PLACE).alias("blk"))
-        sets = wanted.groupBy("blk").cogroup(chosen.select("blk", "node", "shingles").groupBy("blk"))
-        sets = scratch.save(sets.applyInArrow(lambda a, b: _fetched(a, b), "node long, shingles array<long>"))
-        one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("node", "pivot"))
-        both = F.size(F.array_intersect("snode", "spivot"))
-        found = near.join(one, "node").join(two, "pivot").select(
+        sets, filled = beside(near, "shingles")
+        both = F.size(F.array_intersect("mine", "theirs"))
+        found = filled.select(
             "node", "pivot", "label", "plabel", both.alias("common"),
-            F.when(F.col("refer"), F.array_except("snode", "spivot")).alias("rest"),
-            _reaches(both, F.size("snode") + F.size("spivot"), percent).alias("linked"),
+            F.when(F.col("refer"), F.array_except("mine", "theirs")).alias("rest"),
+            _reaches(both, F.size("mine") + F.size("theirs"), percent).alias("linked"),
         )
         found = scratch.save(found)
-        scratch.drop(near, sets)
+        scratch.drop(signs, near, sets)
         return found
 
     labels = chosen.select("node", "n", "central", F.col("node").alias("label"))
@@ -530,17 +536,18 @@ def near_duplicates(
             .where((F.col("label") != F.col("plabel")) & (fits | refer) & (F.col("free") | ~F.coalesce(apart, F.lit(False))))
             .select("node", "pivot", "label", "plabel", refer.alias("refer"))
         )
-        if not first:
-            # One row for a pair, whichever of the two is the pivot.
-            turn = F.col("node") > F.col("pivot")
-            swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x)
-            pairs = pairs.select(swap("node", "pivot"), F.greatest("node", "pivot").alias("pivot"), swap("label", "plabel"), F.when(turn, F.col("label")).otherwise(F.col("plabel")).alias("plabel"), "refer")
-        pairs = pairs.distinct()
+        if first:
+            pairs = pairs.distinct()
+        else:
+            # One row for a pair, if both are pivots; a pivot of many nodes stays one.
+            pair = [F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")]
+            pairs = pairs.groupBy(*pair).agg(F.max(F.struct(*pairs.columns)).alias("p")).select("p.*")
         if tested is not None:
-            pairs = pairs.join(tested, ["node", "pivot"], "left_anti")
+            old = [F.least("node", "pivot") == F.col("x"), F.greatest("node", "pivot") == F.col("y")]
+            pairs = pairs.join(tested, old, "left_anti")
         pairs = scratch.save(pairs)
         checked = compared(pairs)
-        done = pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
+        done = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
         tested = done if tested is None else tested.unionByName(done)
         links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b")).distinct()
         left = live if first else live.where(~few).join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")

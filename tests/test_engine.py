@@ -111,6 +111,16 @@ def test_linear_algebra():
     assert linalg.det(np.array([[1.0, 2], [2, 4]])) == 0
     assert linalg.rank(np.array([[1.0, 2, 3], [2, 4, 6]])) == 1
     assert np.allclose(linalg.pinv(np.array([[1.0, 0], [0, 2], [0, 0]])), [[1, 0, 0], [0, 0.5, 0]])
+    # The sums and the quotient of matrix_inverses' SQL, to the last bit: this row stands 1e-12 from a half at 9 digits.
+    x1, x2, x3 = 14.18, 33.14, 81.6
+    xx, sy = x1 * x1 + x2 * x2 + x3 * x3, x1 + 2 * x2 + 5 * x3
+    det = 30 * xx - sy * sy
+    got = linalg.pinv(np.array([[x1, 1], [x2, 2], [x3, 5]]))
+    assert got[:, 0].tolist() == [(30 * x1 - sy) / det, (xx - sy * x1) / det]
+    assert round(float(got[1, 0]), 9) == 7.183931293
+    wide = np.array([[1.0, 2, 3, 5], [0, 1, 4, 4], [2, 0, 1, 7]])
+    for a in (wide, wide.T, wide[:2], wide[:, :2]):
+        assert np.allclose(linalg.pinv(a), np.linalg.pinv(a))
     assert np.allclose(linalg.eigen(np.diag([1.0, 2, 4]))[0], [4, 2, 1])
     with pytest.raises(ValueError):
         linalg.inv(np.array([[1.0, 2], [2, 4]]))

@@ -1,28 +1,28 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search (operator 1).
 
-The graph holds distinct vectors, scaled to length 1; equal vectors share a
-node. It starts from random-projection blocks and is refined by joins of
-neighbours of neighbours: every node gathers the nodes that are its neighbours
-or have it as theirs, compares them with each other, and offers each one the
-others that beat its present list. Queries walk the graph greedily: they start
-at a block's members and keep expanding the best nodes not yet expanded until
-the beam no longer changes. A sample of the queries walks first and is compared
-with every node; while its walk misses too many neighbours, the beam doubles and
-the walk goes on. Then all queries walk with that beam; where a walk could meet
-every node, they are compared with all nodes. Scores are the cosines of the
-original vectors in double precision.
+The nodes are distinct vectors, scaled to length 1; equal vectors share a node.
+A hash deals them into shards of a bounded size, and each shard has a graph of
+its own, built and searched in memory, so no step of a walk is a join. A graph
+starts from random-projection blocks and is refined by joins of neighbours of
+neighbours: every node gathers the nodes that are its neighbours or have it as
+theirs, compares them with each other, and offers each one the others that beat
+its present list. Queries walk every shard's graph greedily: they start at a
+block's members and keep expanding the best nodes not yet expanded until the
+beam no longer changes. A sample of the queries walks first and is compared
+with every node; while its walk misses too many neighbours, the beam doubles.
+Then all queries walk with that beam; a shard with no more nodes than the beam
+is compared as a whole, as a walk would expand every node. Scores are the
+cosines of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_count
+from .common import Scratch
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
@@ -63,113 +63,147 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest similarities, ties to smaller id."""
-    return np.lexsort((ids, -sims))[:k]
-
-
-def _block_pairs(k: int, cell: int):
-    """Neighbours within one block; a larger block is cut into cells by its order."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, x = table.column("node").to_numpy(), _matrix(table.column("u"), np.float32)
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        src, dst, sim = [], [], []
-        for at in range(0, len(ids), cell):
-            i, u = ids[at : at + cell], x[at : at + cell]
-            s = u @ u.T
-            np.fill_diagonal(s, -2)
-            m = min(k, len(i) - 1)
-            if m < 1:
-                continue
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            src.append(np.repeat(i, m))
-            dst.append(i[top].ravel())
-            sim.append(np.take_along_axis(s, top, axis=1).ravel())
-        cat = lambda a, t: np.concatenate(a) if a else np.empty(0, t)
-        return pa.table({"src": cat(src, np.int64), "dst": cat(dst, np.int64), "sim": cat(sim, np.float32)})
-
-    return run
-
-
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranked(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each source's k most similar edges, by source and falling similarity, and their ranks."""
+    order = np.lexsort((dst, -sim, src))
+    of = src[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    return order[rank < k], rank[rank < k]
+
+
+def _blocks(u: np.ndarray, codes: np.ndarray, k: int, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (src, dst, sim) to the k nearest in a node's block of each tree; a crowded block is cut into cells."""
+    out: list[tuple] = []
+    for code in codes.T:
+        order = np.argsort(code, kind="stable")
+        edge = np.append(np.flatnonzero(np.diff(code[order], prepend=code[order[0]] - 1)), len(order))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            for i in np.array_split(order[lo:hi], max(1, (hi - lo) // cell)):
+                m = min(k, len(i) - 1)
+                if m < 1:
+                    continue
+                s = u[i] @ u[i].T
+                np.fill_diagonal(s, -2)
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                out.append((np.repeat(i, m), i[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    src, dst, sim = (np.concatenate(x) for x in zip(*out, strict=True))
+    _, first = np.unique(src * len(u) + dst, return_index=True)
+    return src[first], dst[first], sim[first]
+
+
+def _offers(u: np.ndarray, members: np.ndarray, fresh: np.ndarray, floor: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each node's gathered neighbours, the pairs that beat either one's list; new ones with all."""
-    for batch in batches:
-        src, dst, sim = [], [], []
-        for members in batch.column("members"):
-            m = members.values
-            ids = m.field("node").to_numpy()
-            ids, first = np.unique(ids, return_index=True)
-            if len(ids) < 2:
-                continue
-            u = _matrix(m.field("u"), np.float32)[first]
-            floor = m.field("floor").to_numpy(zero_copy_only=False)[first]
-            fresh = m.field("fresh").to_numpy(zero_copy_only=False)[first]
-            s = u @ u.T
-            pair = fresh[:, None] | fresh[None, :]
-            np.fill_diagonal(pair, False)
-            a, b = np.nonzero(pair & (s > floor[:, None]))
-            src.append(ids[a])
-            dst.append(ids[b])
-            sim.append(s[a, b])
-        cat = lambda a, t: np.concatenate(a) if a else np.empty(0, t)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cat(src, np.int64)), pa.array(cat(dst, np.int64)), pa.array(cat(sim, np.float32))], ["src", "dst", "sim"]
-        )
-
-
-def _kept(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar neighbours of each node; repeated edges count once."""
-    edges = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
-
-
-def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, *, k: int, sample: int, rounds: int, trees: int, cell: int) -> tuple[DataFrame, np.ndarray]:
-    """The graph (src, dst, sim, fresh) of nodes (node, u), and the planes of its blocks."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count / (cell / 2))))))
-    planes = _planes(dim, bits, trees)
-
-    def code(batches):
-        for batch in batches:
-            c = _coded(_matrix(batch.column("u")), planes)
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("u"), pa.array(c[:, t]), pa.array(np.full(len(c), t))], ["node", "u", "code", "tree"]
-                )
-
-    blocks = nodes.mapInArrow(code, "node long, u array<float>, code long, tree long")
-    # A block that holds more than its share is dealt into cells by a hash.
-    crowd = blocks.groupBy("tree", "code").agg(F.count("*").alias("n"))
-    cells = F.greatest(F.lit(1), F.floor(F.col("n") / (2 * cell))).cast("long")
-    blocks = blocks.join(crowd, ["tree", "code"]).withColumn("cell", F.pmod(F.xxhash64("node"), cells))
-    # Dealt by the cell as well: else the join's partitioning keeps a block's cells in one task.
-    blocks = blocks.repartition("tree", "code", "cell")
-    start = blocks.groupBy("tree", "code", "cell").applyInArrow(_block_pairs(k, cell), "src long, dst long, sim float")
-    graph = scratch.save(_kept(start.withColumn("fresh", F.lit(True)), k))
+    keys, sims = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    for at in range(0, len(members), step):
+        m, f = members[at : at + step], fresh[at : at + step]
+        x = u[m]
+        s = x @ x.transpose(0, 2, 1)
+        there = m >= 0
+        fits = (f[:, :, None] | f[:, None, :]) & there[:, :, None] & there[:, None, :]
+        fits &= (m[:, :, None] != m[:, None, :]) & (s > floor[m][:, :, None])
+        g, a, b = np.nonzero(fits)
+        key, first = np.unique(m[g, a] * len(u) + m[g, b], return_index=True)
+        keys.append(key)
+        sims.append(s[g, a, b][first])
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    return key // len(u), key % len(u), np.concatenate(sims)[first]
+
+
+def build(u: np.ndarray, codes: np.ndarray, *, k: int, sample: int, rounds: int, cell: int) -> np.ndarray:
+    """(nodes, 2 k): where a walk may go from each node, the most similar first, filled up with -1.
+
+    ``codes`` are the nodes' blocks in each tree. The graph holds each node's
+    k most similar ones found; walks go along edges in both directions.
+    """
+    n = len(u)
+    rng = np.random.default_rng(2)
+    src, dst, sim = _blocks(u, codes, k, cell)
+    kept, _ = _ranked(src, dst, sim, k)
+    src, dst, sim = src[kept], dst[kept], sim[kept]
+    fresh = np.ones(len(src), bool)
     for _ in range(rounds):
-        floor = graph.groupBy("src").agg(F.min("sim").alias("floor"), F.count("*").alias("held"))
-        floor = floor.select("src", F.when(F.col("held") < k, -2.0).otherwise(F.col("floor")).cast("float").alias("floor"))
-        vectors = scratch.save(nodes.join(floor, F.col("node") == F.col("src"), "left").select("node", "u", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor")))
+        held = np.bincount(src, minlength=n)
+        floor = np.full(n, np.inf, np.float32)
+        np.minimum.at(floor, src, sim)
+        floor[held < k] = -2
         # Both directions; each node samples its new and old neighbours on either side.
-        both = graph.select(F.col("src").alias("at"), F.col("dst").alias("node"), "fresh", F.lit(0).alias("side")).unionByName(
-            graph.select(F.col("dst").alias("at"), F.col("src").alias("node"), "fresh", F.lit(1).alias("side"))
-        )
-        w = Window.partitionBy("at", "side", "fresh").orderBy(F.xxhash64("at", "node", F.lit(scratch.count)))
-        picked = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
-        picked = scratch.save(picked.groupBy("at", "node").agg(F.max("fresh").alias("fresh")))
-        gathered = picked.join(vectors, "node").groupBy("at").agg(F.collect_list(F.struct("node", "u", "floor", "fresh")).alias("members"))
-        offers = gathered.select("members").mapInArrow(_local_join, "src long, dst long, sim float")
-        offers = scratch.save(offers.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("fresh", F.lit(True)))
-        used = picked.where("fresh").select(F.col("at").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("seen"))
-        old = graph.join(used, ["src", "dst"], "left").select("src", "dst", "sim", (F.col("fresh") & F.col("seen").isNull()).alias("fresh"))
-        before, graph = graph, scratch.save(_kept(old.unionByName(offers), k))
-        changed = graph.join(before.select("src", "dst", F.lit(1).alias("was")), ["src", "dst"], "left").where("was is null").count()
-        scratch.drop(before, vectors, picked, offers)
-        if changed <= 0.001 * k * count:
+        members, new = np.full((n, 4 * sample), -1, np.int64), np.zeros((n, 4 * sample), bool)
+        for side, (at, to) in enumerate(((src, dst), (dst, src))):
+            for old in range(2):
+                e = np.flatnonzero(fresh != bool(old))
+                e = e[rng.permutation(len(e))]
+                e = e[np.argsort(at[e], kind="stable")]
+                rank = np.arange(len(e)) - np.searchsorted(at[e], at[e])
+                e, rank = e[rank < sample], rank[rank < sample] + sample * (2 * side + old)
+                members[at[e], rank] = to[e]
+                if not old:
+                    new[at[e], rank] = True
+                    if not side:
+                        used = e
+        a, b, s = _offers(u, members, new, floor)
+        fresh[used] = False
+        # Edges that were there come first, so a repeated one isn't new.
+        _, first = np.unique(np.concatenate((src * n + dst, a * n + b)), return_index=True)
+        new_edge = first >= len(src)
+        fresh = np.concatenate((fresh, np.ones(len(a), bool)))[first]
+        src, dst, sim = (np.concatenate(x)[first] for x in ((src, a), (dst, b), (sim, s)))
+        kept, _ = _ranked(src, dst, sim, k)
+        src, dst, sim, fresh = src[kept], dst[kept], sim[kept], fresh[kept]
+        if new_edge[kept].sum() <= 0.001 * k * n:
             break
-    return graph, planes
+    ways = np.full((n, 2 * k), -1, np.int32)
+    _, first = np.unique(np.concatenate((src * n + dst, dst * n + src)), return_index=True)
+    src, dst, sim = (np.concatenate(x)[first] for x in ((src, dst), (dst, src), (sim, sim)))
+    kept, rank = _ranked(src, dst, sim, 2 * k)
+    ways[src[kept], rank] = dst[kept]
+    return ways
+
+
+def walk(u: np.ndarray, ways: np.ndarray, begin: np.ndarray, q: np.ndarray, beam: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, beam): the nodes that the walks end with and their similarities, -1 where there are none.
+
+    From the nodes ``begin`` (-1: none), the ``expand`` best of a beam that
+    aren't expanded are, until all are.
+    """
+    row = np.arange(len(q))[:, None]
+    best = np.full((len(q), beam), -1, np.int64)
+    sims = np.full((len(q), beam), -np.inf, np.float32)
+    done = np.ones((len(q), beam), bool)
+    seen = np.zeros(len(q) * len(u), bool)
+    met = begin
+    while True:
+        at = np.unique((row * len(u) + met)[met >= 0])
+        at = at[~seen[at]]
+        seen[at] = True
+        r, i = at // len(u), at % len(u)
+        if len(at):
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            found = np.full((len(q), int(rank.max()) + 1), -1, np.int64)
+            sim = np.full(found.shape, -np.inf, np.float32)
+            found[r, rank], sim[r, rank] = i, np.einsum("ij,ij->i", u[i], q[r])
+            best, done = np.hstack((best, found)), np.hstack((done, found < 0))
+            sims = np.hstack((sims, sim))
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+            best, sims, done = (np.take_along_axis(x, top, axis=1) for x in (best, sims, done))
+        ready = np.argsort(done, axis=1, kind="stable")[:, :expand]
+        now = ~np.take_along_axis(done, ready, axis=1)
+        if not now.any():
+            return best, sims
+        np.put_along_axis(done, ready, True, axis=1)
+        met = np.where(now[:, :, None], ways[np.take_along_axis(best, ready, axis=1)], -1).reshape(len(q), -1)
+
+
+def _entries(codes: np.ndarray, asked: np.ndarray, each: int) -> np.ndarray:
+    """(queries, entry points): some members of the query's block in each tree, and a few nodes for queries in empty blocks."""
+    out = [np.broadcast_to(np.arange(min(each, len(codes))), (len(asked), min(each, len(codes))))]
+    for code, of in zip(codes.T, asked.T, strict=True):
+        order = np.argsort(code, kind="stable")
+        place = np.searchsorted(code[order], of)[:, None] + np.arange(each)
+        node = order[np.minimum(place, len(order) - 1)]
+        out.append(np.where((place < len(order)) & (code[node] == of[:, None]), node, -1))
+    return np.hstack(out)
 
 
 def search(
@@ -188,6 +222,7 @@ def search(
     expand: int = 8,
     recall: float = 0.95,
     probes: int = 256,
+    shard: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``top`` nearest found, nearest first.
 
@@ -202,7 +237,8 @@ def search(
 
     ``beam`` is where the walk begins; it grows until ``probes`` sampled queries
     find the share ``recall`` of their neighbours by brute force. ``rounds``
-    counts for tables up to 2,048 vectors; every doubling allows one more.
+    counts for shards up to 2,048 nodes; every doubling allows one more. Shards
+    have about ``shard`` nodes; a task holds one with a pack of queries.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -235,70 +271,60 @@ def search(
     count = nodes.count()
     if not count or asked.isEmpty():
         return empty
-    # Every step meets vectors by node: bucketed, they aren't shuffled again.
-    buckets = bucket_count(spark, count, 4096, 1)
-    nodes = scratch.save_bucketed(nodes.repartition(buckets, "node"), buckets, "node")
-    rounds += max(0, int(np.ceil(np.log2(count))) - 11)
-    graph, planes = build(nodes, count, lengths.d, scratch, k=k, sample=sample, rounds=rounds, trees=trees, cell=cell)
-    # Search goes along edges in both directions, a node's most similar ones first.
-    both = graph.select("src", "dst", "sim").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    ways = both.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
-    ways = ways.groupBy("src").agg(F.collect_list("dst").alias("next"))
-    ways = scratch.save_bucketed(ways.repartition(buckets, "src"), buckets, "src")
-
-    def coded(batches):
+    shards = -(-count // shard)
+    bits = max(0, int(np.ceil(np.log2(max(1, count / shards / (cell / 2))))))
+    planes = _planes(lengths.d, bits, trees)
+
+    def graph(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("node").to_numpy())
+        ids, u = table.column("node").to_numpy()[order], _matrix(table.column("u"), np.float32)[order]
+        codes = _coded(u.astype(np.float64), planes)
+        more = max(0, int(np.ceil(np.log2(len(ids)))) - 11)
+        ways = build(u, codes, k=k, sample=sample, rounds=rounds + more, cell=cell)
+        parts = {"ids": ids, "us": u, "ways": ways, "codes": codes}
+        return pa.table({n: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for n, x in parts.items()})
+
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(shards)))
+    # More partitions than shards, so that few shards share a task.
+    dealt = dealt.repartition(max(shards, min(4 * shards, 512)), "shard")
+    graphs = scratch.save(dealt.groupBy("shard").applyInArrow(graph, "ids binary, us binary, ways binary, codes binary"))
+
+    def asked_unit(batches):
         for batch in batches:
             if batch.num_rows:
-                u = _unit(_matrix(batch.column("v")))
-                c = _coded(u, planes)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id"), _array(u, pa.float32()), pa.array(c[:, t]), pa.array(np.full(len(c), t))], ["query", "q", "code", "tree"]
-                    )
-
-    def code(batches):
-        for batch in batches:
-            if batch.num_rows:
-                c = _coded(_matrix(batch.column("u")), planes)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(c[:, t]), pa.array(np.full(len(c), t))], ["node", "code", "tree"])
-
-    # Entry points: some members of the query's block in each tree, and a few nodes for queries in empty blocks.
-    order = Window.partitionBy("tree", "code").orderBy(F.xxhash64("node"))
-    entries = nodes.mapInArrow(code, "node long, code long, tree long")
-    salted = Window.partitionBy("tree", "code", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(64))).orderBy(F.xxhash64("node"))
-    entries = entries.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= expand)
-    entries = entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= expand)
-    asked_codes = asked.mapInArrow(coded, "query long, q array<float>, code long, tree long")
-    begin = asked_codes.join(entries, ["tree", "code"]).select("query", "node").distinct()
-    anyone = [r.node for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(expand).collect()]
-    anywhere = asked.select(F.col("id").alias("query"), F.explode(F.array(*map(F.lit, anyone))).alias("node"))
-    units = scratch.save(asked_codes.where("tree = 0").select("query", "q"))
-    begin = scratch.save(begin.unionByName(anywhere).distinct())
-
-    def walked(found: DataFrame, units: DataFrame, beam: int, expand: int) -> DataFrame:
-        """The nodes met when every node of the beam is expanded, the ``expand`` best at a time."""
-        while True:
-            w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-            front = Window.partitionBy("query").orderBy("r")
-            ranked = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam)
-            ready = ranked.where(~F.col("done")).withColumn("p", F.row_number().over(front)).where(F.col("p") <= expand)
-            ready = scratch.save(ready.select("query", "node"))
-            if ready.isEmpty():
-                scratch.drop(ready)
-                return found
-            reached = ready.join(ways, F.col("node") == F.col("src")).select("query", F.explode("next").alias("node")).distinct()
-            new = reached.join(found.select("query", "node"), ["query", "node"], "left_anti")
-            scored = _scored(new, nodes, units).withColumn("done", F.lit(False))
-            marked = found.join(ready.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
-                "query", "node", "sim", (F.col("done") | F.col("now").isNotNull()).alias("done")
-            )
-            old, found = found, scratch.save(marked.unionByName(scored))
-            scratch.drop(old, ready)
-
-    def started(begin: DataFrame, units: DataFrame) -> DataFrame:
-        return scratch.save(_scored(begin, nodes, units).withColumn("done", F.lit(False)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _array(_unit(_matrix(batch.column("v"))), pa.float32())], ["query", "q"])
+
+    units = scratch.save(asked.mapInArrow(asked_unit, "query long, q array<float>"))
+    held = max(beam, 4 * top)
+
+    def walked(units: DataFrame, beam: int, expand: int) -> DataFrame:
+        """(query, node, sim): the best nodes that the queries' walks through every shard end with."""
+
+        def run(batches):
+            for batch in batches:
+                for ids, us, ways, codes, queries, qs in zip(*batch.columns, strict=True):
+                    ids, queries, codes = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, queries, codes))
+                    u, q = (np.frombuffer(x.as_buffer(), np.float32).reshape(len(i), -1) for x, i in ((us, ids), (qs, queries)))
+                    ways, codes = np.frombuffer(ways.as_buffer(), np.int32).reshape(len(ids), -1), codes.reshape(len(ids), -1)
+                    for at in range(0, len(q), 128):
+                        part = q[at : at + 128]
+                        if beam >= len(ids):
+                            sims = part @ u.T
+                            best = np.argsort(-sims, axis=1, kind="stable")[:, :held]
+                            sims = np.take_along_axis(sims, best, axis=1)
+                        else:
+                            begin = _entries(codes, _coded(part.astype(np.float64), planes), expand)
+                            best, sims = (x[:, :held] for x in walk(u, ways, begin, part, beam, expand))
+                        there = best >= 0
+                        of = np.broadcast_to(queries[at : at + 128, None], best.shape)
+                        yield pa.RecordBatch.from_arrays([pa.array(of[there]), pa.array(ids[best[there]]), pa.array(sims[there])], ["query", "node", "sim"])
+
+        pairs = graphs.crossJoin(packs(units))
+        found = pairs.mapInArrow(run, "query long, node long, sim float")
+        return scratch.save(found.groupBy("query", "node").agg(F.max("sim").alias("sim")))
+
+    def packs(units: DataFrame) -> DataFrame:
+        return scratch.save(_packed(units, "query", "q", 1024))
 
     own = asked.select(F.col("id").alias("query"), F.xxhash64("v").alias("node"))
     probe = scratch.save(asked.select("id").distinct().orderBy(F.xxhash64("id")).limit(probes).select(F.col("id").alias("query")))
@@ -306,19 +332,16 @@ def search(
     truth = _nearest(tried, nodes, top + 1).join(own, ["query", "node"], "left_anti")
     truth = scratch.save(_first(truth, top).select("query", "node"))
     wanted = truth.count()
-    found = started(begin.join(F.broadcast(probe), "query"), tried)
-    while 2 * k * beam < count:
-        found = walked(found, tried, beam, expand)
-        if truth.join(found.select("query", "node"), ["query", "node"], "left_semi").count() >= recall * wanted:
+    while beam < 2 * shard:
+        found = walked(tried, beam, expand)
+        met = _first(found, held).select("query", "node")
+        hit = truth.join(met, ["query", "node"], "left_semi").count()
+        scratch.drop(found)
+        if hit >= recall * wanted:
             break
         beam, expand = 2 * beam, 2 * expand
-    scratch.drop(found)
-    if 2 * k * beam < count:
-        found = walked(started(begin, units), units, beam, expand)
-    else:
-        found = scratch.save(_first(_nearest(units, nodes, beam), beam))
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam).select("query", "node")
+    # A query's own node holds its copies.
+    best = _first(walked(units, beam, expand), held).select("query", "node").union(own).distinct()
     exact = best.join(distinct, "node").join(asked.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query")
 
     def cosine(batches):
@@ -353,18 +376,6 @@ def _nearest(units: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     Queries and nodes meet in packs, so a pack's pairs are one matrix product.
     """
 
-    def packed(frame: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    x = _matrix(part.column(vector), np.float32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.column(key).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [key, vector]
-                    )
-
-        return frame.select(key, vector).mapInArrow(run, f"{key} binary, {vector} binary")
-
     def run(batches):
         for batch in batches:
             for ids, us, queries, qs in zip(*(batch.column(c) for c in ("node", "u", "query", "q")), strict=True):
@@ -378,18 +389,20 @@ def _nearest(units: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                     ["query", "node", "sim"],
                 )
 
-    pairs = packed(nodes, "node", "u", 4096).crossJoin(packed(units, "query", "q", 256))
+    pairs = _packed(nodes, "node", "u", 4096).crossJoin(_packed(units, "query", "q", 256))
     return pairs.mapInArrow(run, "query long, node long, sim float")
 
 
-def _scored(pairs: DataFrame, nodes: DataFrame, units: DataFrame) -> DataFrame:
-    """(query, node, sim) of pairs, in single precision, to steer the walk."""
+def _packed(frame: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Packs of up to ``size`` keys and vectors, each in one binary value."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                sim = np.einsum("ij,ij->i", _matrix(batch.column("u"), np.float32), _matrix(batch.column("q"), np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(sim)], ["query", "node", "sim"])
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = _matrix(part.column(vector), np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(key).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [key, vector]
+                )
 
-    joined = pairs.join(units, "query").join(nodes, "node").select("query", "node", "u", "q")
-    return joined.mapInArrow(run, "query long, node long, sim float")
+    return frame.select(key, vector).mapInArrow(run, f"{key} binary, {vector} binary")

@@ -376,6 +376,48 @@ def test_neighbours_widen_until_found(spark):
     assert hit >= 0.9 * 5 * 30
 
 
+def test_neighbours_walk_takes_no_job_a_step(spark):
+    from barloom.llm.neighbours import search
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 48))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("walk", "walk")
+    try:
+        got = search(vectors, vectors.where("vec_id % 100 = 0"), k=12, sample=6, cell=64, beam=12)
+        got = got.collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 4000, 100):
+        s = u[q] @ u.T
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5]) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * 5 * 40
+    assert jobs <= 100
+
+
+def test_neighbours_of_several_shards(spark):
+    from barloom.llm.neighbours import search
+
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(2500, 32))
+    x[1000:1600] = x[1000] + 0.01 * rng.normal(size=(600, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = search(vectors, vectors.where("vec_id % 50 = 0"), cell=64, beam=24, shard=400).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 2500, 50):
+        s = u[q] @ u.T
+        s[q] = -9
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == [1, 2, 3, 4, 5] and all(abs(r.score - s[r.vec_id]) < 1e-9 for r in mine)
+        hit += len(set(np.argsort(-s)[:5]) & {r.vec_id for r in mine})
+    assert hit >= 0.9 * 5 * 50
+
+
 # --- toxicity ---
 
 

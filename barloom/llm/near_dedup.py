@@ -24,9 +24,10 @@ node, so copies cost no index entries.
    of pivots for a key grows geometrically until nothing unsettled is left, so
    no candidate is ever dropped. Nodes outside a key's largest component are
    pivots first, and a key with no more of them than pivots is settled at once:
-   only pairs of different components are open. Members of a large group that can only be
-   linked through what their reference lacks meet by that instead (see
-   ``_referred``).
+   only pairs of different components are open. Members of large groups are
+   held against the group's core: that links most of them without comparing
+   them with one another, and tells which of the others can be linked at all
+   (see ``_cored`` and ``_referred``).
 4. Pairs whose signatures are over the distance are far below the threshold;
    the full sets of the others are compared: a pivot's set travels to the node,
    whose own stays where it is.
@@ -356,43 +357,99 @@ def _mixed(live: DataFrame, joined: bool = True) -> DataFrame:
     return found.withColumn("odd", F.col("label") != F.col("major")).select(*live.columns)
 
 
-def _referred(live: DataFrame, refs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """What is left to compare after the references (node, ref, common, rest), without squaring large groups.
+def _roots(refers: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pivot, root) of pivots that have a pivot (node, pivot) themselves: where that chain ends.
 
-    Let x and y have the reference p. What they share lies in p, where it is
-    at most what either shares with p, or outside p. If the former can't reach
-    the threshold, they can only be linked if they share a shingle outside p.
-    So a node for which this holds with every other in a key, all having one
-    reference, leaves that key; and nodes get keys for their shingles outside
-    their reference.
+    It ends, for a pivot is more central than its nodes.
     """
-    live = scratch.save(_mixed(live))
-    refs = scratch.save(refs.join(live.select("node").distinct(), "node"))
-    outside = scratch.save(refs.select("ref", "node", F.explode("rest").alias("s")))
-    # What most of a reference's nodes have joins the reference, for the bound holds for any set.
-    size = refs.groupBy("ref").agg(F.count("*").alias("m"))
-    shared = outside.groupBy("ref", "s").agg(F.count("*").alias("c")).where("c > 1").join(size, "ref")
-    shared = scratch.save(shared.select("ref", "s", (2 * F.col("c") > F.col("m")).alias("most")))
-    outside = scratch.save(outside.join(shared, ["ref", "s"]))
-    more = outside.where("most").groupBy("node").agg(F.count("*").cast("int").alias("more"))
-    refs = refs.join(more, "node", "left").select("node", "ref", (F.col("common") + F.coalesce("more", F.lit(0))).alias("common"))
-    live = scratch.save(live.drop("ref", "common").join(refs, "node", "left").select(*live.columns))
-    group = live.groupBy("key").agg(
-        (F.min("ref") == F.max("ref")).alias("one"),
-        (F.count("ref") == F.count("*")).alias("all"),
-        F.min("n").alias("least"),
+    pivots = refers.select(F.col("pivot").alias("node")).distinct()
+    step = refers.join(pivots, "node", "left_semi").select(F.col("node").alias("pivot"), F.col("pivot").alias("root"))
+    step = scratch.save(step)
+    while True:
+        far = step.select(F.col("pivot").alias("root"), F.col("root").alias("far"))
+        after = scratch.save(step.join(far, "root", "left").select("pivot", F.coalesce("far", "root").alias("root"), "far"))
+        scratch.drop(step)
+        step = after.drop("far")
+        step._scratch_path = after._scratch_path
+        if after.where("far is not null").isEmpty():
+            return step
+
+
+def _cored(refs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cores of the references' nodes (node, ref, n, rn, common, rest, lost), and links that they prove.
+
+    A reference's core is what most of its near nodes have. Let d(x) be the
+    number of shingles that x and the core don't share; two sets differ in
+    d(x) + d(y) at most. If that is few enough they are linked, so every node
+    is held against the one nearest to the core. Returns (node, ref, n,
+    common), the latter with the core; the nodes' shingles outside it that
+    another node has (node, ref, s, c), ``c`` their number; links (a, b).
+    """
+    near = 2 * F.col("common") >= F.greatest("n", "rn")
+    size = refs.where(near).groupBy("ref").agg(F.count("*").alias("m"))
+    # The reference's own shingles that most near nodes lack aren't of the core.
+    scarce = refs.where(near).select("ref", F.explode("lost").alias("s")).groupBy("ref", "s").agg(F.count("*").alias("c"))
+    scarce = scarce.join(size, "ref").where(2 * F.col("c") >= F.col("m")).groupBy("ref").agg(F.collect_list("s").alias("scarce"))
+    refs = refs.join(scarce, "ref", "left").withColumn("scarce", F.coalesce("scarce", F.array().cast("array<long>")))
+    held = F.array_except("scarce", "lost")
+    refs = scratch.save(
+        refs.select(
+            "node", "ref", "n", near.alias("near"), (F.col("common") - F.size(held)).alias("common"),
+            (F.col("rn") - F.size("scarce")).alias("core"), F.concat("rest", held).alias("rest"),
+        )
     )
+    outside = scratch.save(refs.select("ref", "node", "near", F.explode("rest").alias("s")))
+    shared = outside.groupBy("ref", "s").agg(F.count("*").alias("c"), F.count_if("near").alias("v")).where("c > 1")
+    shared = scratch.save(shared.join(size, "ref").select("ref", "s", "c", (2 * F.col("v") > F.col("m")).alias("most")))
+    outside = scratch.save(outside.drop("near").join(shared, ["ref", "s"]))
+    more = outside.where("most").groupBy("node").agg(F.count("*").cast("int").alias("more"))
+    most = shared.where("most").groupBy("ref").agg(F.count("*").alias("most"))
+    zero = F.lit(0)
+    found = refs.join(more, "node", "left").join(most, "ref", "left")
+    found = found.withColumn("common", F.col("common") + F.coalesce("more", zero))
+    apart = F.col("n") + F.col("core") + F.coalesce("most", zero) - 2 * F.col("common")
+    found = scratch.save(found.select("node", "ref", "n", "common", ((100 + percent) * apart - (100 - percent) * F.col("n")).alias("over")))
+    nearest = found.groupBy("ref").agg(F.min(F.struct("over", "node")).alias("p"))
+    links = found.join(nearest, "ref").where((F.col("over") + F.col("p.over") <= 0) & (F.col("node") != F.col("p.node")))
+    links = links.select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    return found.drop("over"), outside.where("not most").drop("most"), links
+
+
+def _referred(live: DataFrame, refs: DataFrame, outside: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """What is left to compare after the cores (see ``_cored``), without squaring large groups.
+
+    Let x and y have one core. What they share lies in it, where it is at most
+    what either shares with it, or outside. If the former can't reach the
+    threshold, they can only be linked if they share a shingle outside; x
+    shares T or more of them with any linked set, T being what it lacks of
+    the threshold's share of its size. So it gets keys for its outside
+    shingles without the T - 1 commonest (prefix filter); those that no other
+    node has are rarer than all. Other pairs of one core meet in one key for
+    it, which takes the place of all keys whose nodes have that core; nodes
+    that reach the threshold with none aren't entered.
+    """
+    live = scratch.save(_mixed(live))
+    known = refs.join(live.select("node").distinct(), "node", "left_semi")
+    live = scratch.save(live.drop("ref", "common").join(known.drop("n"), "node", "left").select(*live.columns))
+    group = live.groupBy("key").agg(((F.min("ref") == F.max("ref")) & (F.count("ref") == F.count("*"))).alias("alike"))
+    live = scratch.save(live.join(group, "key").withColumn("alike", F.coalesce("alike", F.lit(False))))
+    share = F.ceil(F.col("n") * percent / 100)
+    least = known.groupBy("ref").agg(F.min("n").alias("least"))
     # A linked set isn't smaller than the threshold's share of this one.
-    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    alike = F.coalesce(F.col("one") & F.col("all"), F.lit(False))
-    open_ = live.join(group, "key").where(~alike | _reaches(F.col("common"), F.col("n") + other, percent))
+    one = live.where("alike").select("node", "central", "n", "label", "ref", "common").distinct().join(least, "ref")
+    one = one.where(_reaches(F.col("common"), F.col("n") + F.greatest("least", share), percent))
+    one = one.select("*", F.xxhash64("ref", F.lit("core")).alias("key"), F.lit(False).alias("free"), *_uncounted())
+    lacks = F.greatest(F.lit(1), share - F.col("common"))
+    rare = outside.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("rare")).join(known, "node")
+    rare = rare.select("node", "ref", "rare", (F.size("rare") - lacks + 1).cast("int").alias("k")).where("k > 0")
     free = (
-        outside.where("not most")
-        .select(F.xxhash64("ref", "s").alias("key"), "node")
+        rare.select("node", "ref", F.explode(F.slice("rare", F.lit(1), F.col("k"))).alias("r"))
+        .select(F.xxhash64("ref", "r.s").alias("key"), "node")
         .join(nodes.select("node", "central", "n", "label"), "node")
         .select("key", "node", "central", "n", "label", *_unreferred()[:2], F.lit(True).alias("free"), *_uncounted())
     )
-    return scratch.save(open_.select(*live.columns).unionByName(free))
+    columns = [c for c in live.columns if c != "alike"]
+    return scratch.save(live.where("not alike").select(*columns).unionByName(one.select(*columns)).unionByName(free))
 
 
 def near_duplicates(
@@ -485,7 +542,10 @@ def near_duplicates(
         return theirs, pairs.join(theirs, "pivot").join(mine, "node")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(node, pivot, label, plabel, common, rest, linked) of the pairs near enough by their signatures, and of references."""
+        """Linked pairs (node, pivot, label, plabel) among those near enough by their signatures, and references' counts.
+
+        For the latter: sizes, what is common, and what each lacks of the other.
+        """
         same = F.size(F.filter(F.zip_with("mine", "theirs", lambda x, y: x == y), lambda x: x))
         signs, signed = beside(pairs, "sign")
         near = signed.where(F.col("refer") | (same >= chunks * width - distance))
@@ -493,8 +553,9 @@ def near_duplicates(
         sets, filled = beside(near, "shingles")
         both = F.size(F.array_intersect("mine", "theirs"))
         found = filled.select(
-            "node", "pivot", "label", "plabel", both.alias("common"),
+            "node", "pivot", "label", "plabel", both.alias("common"), F.size("mine").alias("n"), F.size("theirs").alias("pn"),
             F.when(F.col("refer"), F.array_except("mine", "theirs")).alias("rest"),
+            F.when(F.col("refer"), F.array_except("theirs", "mine")).alias("lost"),
             _reaches(both, F.size("mine") + F.size("theirs"), percent).alias("linked"),
         )
         found = scratch.save(found)
@@ -537,7 +598,11 @@ def near_duplicates(
             .select("node", "pivot", "label", "plabel", refer.alias("refer"))
         )
         if first:
-            pairs = pairs.distinct()
+            # The reference's own reference takes its place; labels are nodes yet.
+            pairs = scratch.save(pairs)
+            roots = _roots(pairs.where("refer").select("node", "pivot"), scratch)
+            pairs = pairs.join(roots, "pivot", "left").withColumn("pivot", F.coalesce(F.when(F.col("refer"), F.col("root")), "pivot"))
+            pairs = pairs.select("node", "pivot", "label", F.col("pivot").alias("plabel"), "refer")
         else:
             # One row for a pair, if both are pivots; a pivot of many nodes stays one.
             pair = [F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")]
@@ -549,7 +614,18 @@ def near_duplicates(
         checked = compared(pairs)
         done = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
         tested = done if tested is None else tested.unionByName(done)
-        links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b")).distinct()
+        links = checked.where("linked").select(F.col("label").alias("a"), F.col("plabel").alias("b"))
+        if first:
+            refs = checked.where("rest is not null")
+            refs = refs.select("node", F.col("pivot").alias("ref"), "n", F.col("pn").alias("rn"), "common", "rest", "lost")
+            # A pivot that has no reference is its own.
+            own = pivots.where(F.col("pcrowd") > CROWD).select(F.col("pivot").alias("node"), F.col("pn").cast("int").alias("n")).distinct()
+            own = own.join(refs.select("node"), "node", "left_anti")
+            none = F.array().cast("array<long>")
+            own = own.select("node", F.col("node").alias("ref"), "n", F.col("n").alias("rn"), F.col("n").alias("common"), none.alias("rest"), none.alias("lost"))
+            refs, outside, proven = _cored(refs.unionByName(own), percent, scratch)
+            links = links.unionByName(proven)
+        links = links.distinct()
         left = live if first else live.where(~few).join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         if not links.isEmpty():
             joined = connected_components(links, scratch).select(F.col("id").alias("label"), "component")
@@ -558,12 +634,7 @@ def near_duplicates(
             left = left.join(joined, "label", "left").select(*live.columns[:4], relabel, *live.columns[5:])
             labels = scratch.save(labels.join(joined, "label", "left").select("node", "n", "central", relabel))
         if first:
-            refs = checked.where("rest is not null").select("node", F.col("pivot").alias("ref"), "common", "rest")
-            # A pivot that has no reference is its own.
-            own = pivots.where(F.col("pcrowd") > CROWD).select(F.col("pivot").alias("node"), "pn").distinct()
-            own = own.join(refs.select("node"), "node", "left_anti")
-            own = own.select("node", F.col("node").alias("ref"), F.col("pn").cast("int").alias("common"), F.array().cast("array<long>").alias("rest"))
-            left = _referred(left, refs.unionByName(own), labels, percent, scratch)
+            left = _referred(left, refs, outside, labels, percent, scratch)
         old, live = live, scratch.save(_mixed(left))
         scratch.drop(old, pivots, checked)
         salts = 1 if first else salts * 16

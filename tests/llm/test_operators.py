@@ -77,6 +77,49 @@ def test_near_duplicates_in_a_large_group(spark):
     assert [r.component_id for r in got] == label
 
 
+def near_copies(count, words=120, most=21):
+    rng = np.random.default_rng(11)
+    first = [f"w{i}" for i in range(words)]
+    texts = []
+    for i in range(count):
+        text = list(first)
+        for at in rng.choice(words, 1 + i % most, replace=False):
+            text[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_near_copies_leave_rows_in_proportion(spark, monkeypatch):
+    """Rounds after the first start with a few rows of a large group, not with its index rows."""
+    from barloom.llm import near_dedup
+
+    left, mixed = [], near_dedup._mixed
+
+    def counted(live, *args, **kwargs):
+        found = mixed(live, *args, **kwargs)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "_mixed", counted)
+    texts = near_copies(200)
+    got = sorted(near_dedup.near_duplicates(odd(spark, texts), shingle=2).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in got] == brute_components(texts, 2, 80)[1]
+    print("rows:", left)
+    assert left[0] > 10 * len(texts)
+    assert sum(left[2:]) < 2 * len(texts)
+
+
+def test_near_copies_linked_by_the_core_alone(spark):
+    """Sets near the core of which none is the reference's neighbour, passages that only some share, and two groups."""
+    from barloom.llm.near_dedup import near_duplicates
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [t + (f" {passage}" if i % 3 == 0 else "") for i, t in enumerate(near_copies(60, most=12))]
+    texts += [t.replace("w", "v") for t in near_copies(40, words=80, most=16)]
+    got = sorted(near_duplicates(odd(spark, texts), shingle=2).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in got] == brute_components(texts, 2, 80)[1]
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     from barloom.llm.near_dedup import near_duplicates
 

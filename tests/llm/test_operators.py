@@ -89,24 +89,41 @@ def near_copies(count, words=120, most=21):
     return texts
 
 
-def test_near_copies_leave_rows_in_proportion(spark, monkeypatch):
-    """Rounds after the first start with a few rows of a large group, not with its index rows."""
+@pytest.fixture
+def left(monkeypatch):
+    """Rows of the index, of what the references see and of each later round."""
     from barloom.llm import near_dedup
 
-    left, mixed = [], near_dedup._mixed
+    found, mixed = [], near_dedup._mixed
 
     def counted(live, *args, **kwargs):
-        found = mixed(live, *args, **kwargs)
-        left.append(found.count())
-        return found
+        out = mixed(live, *args, **kwargs)
+        found.append(out.count())
+        return out
 
     monkeypatch.setattr(near_dedup, "_mixed", counted)
+    return found
+
+
+def test_near_copies_leave_rows_in_proportion(spark, left):
+    """Rounds after the first start with a few rows of a large group, not with its index rows."""
+    from barloom.llm.near_dedup import near_duplicates
+
     texts = near_copies(200)
-    got = sorted(near_dedup.near_duplicates(odd(spark, texts), shingle=2).collect(), key=lambda r: r.doc_id)
+    got = sorted(near_duplicates(odd(spark, texts), shingle=2).collect(), key=lambda r: r.doc_id)
     assert [r.component_id for r in got] == brute_components(texts, 2, 80)[1]
-    print("rows:", left)
     assert left[0] > 10 * len(texts)
-    assert sum(left[2:]) < 2 * len(texts)
+    assert sum(left[2:]) < 2 * len(texts), left
+
+
+def test_pipeline_near_copies_leave_rows_in_proportion(spark, left):
+    import corpus_pipeline
+
+    texts = near_copies(150, words=300)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, odd(spark, texts), "").collect()}
+    assert kept == set(brute_components(texts, 5, 80)[1])
+    assert left[0] > 10 * len(texts)
+    assert sum(left[2:]) < 2 * len(texts), left
 
 
 def test_near_copies_linked_by_the_core_alone(spark):

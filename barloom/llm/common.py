@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -39,28 +40,55 @@ def trim() -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """A function over Arrow batches, after whose last one free memory goes back."""
+    """A function over Arrow batches, after whose last one free memory goes back, and the held model if none asks for it soon."""
 
     @functools.wraps(run)
     def tidied(*args):
         try:
             yield from run(*args)
         finally:
-            trim()
+            settle()
 
     return tidied
 
 
+#: Seconds for which a worker holds a model that no task uses. Spark takes idle workers in turn: where a stage before has
+#: left more of them than there are cores, each would hold a model, also while other operators run.
+IDLE = 1.0
 _MODEL: dict[Hashable, Any] = {}
+_LOCK = threading.RLock()
+_TIMER: list[threading.Timer] = []
 
 
 def held_model(key: Hashable, make: Callable[[], Any]) -> Any:
-    """The one model that a worker holds; another operator's goes first."""
-    if key not in _MODEL:
+    """The one model that a worker holds; another operator's goes first. Between tasks it stays for ``IDLE`` seconds."""
+    with _LOCK:
+        while _TIMER:
+            _TIMER.pop().cancel()
+        if key not in _MODEL:
+            _MODEL.clear()
+            trim()
+            _MODEL[key] = make()
+        return _MODEL[key]
+
+
+def settle() -> None:
+    """After a task: free memory goes back now, the held model later. Tasks that don't use it don't put that off."""
+    trim()
+    with _LOCK:
+        if _MODEL and not _TIMER:
+            _TIMER.append(timer := threading.Timer(IDLE, lambda: _let_go(timer)))
+            timer.daemon = True
+            timer.start()
+
+
+def _let_go(timer: threading.Timer) -> None:
+    with _LOCK:
+        if timer not in _TIMER:  # a task has come in between
+            return
+        _TIMER.clear()
         _MODEL.clear()
-        trim()
-        _MODEL[key] = make()
-    return _MODEL[key]
+    trim()
 
 
 _OPEN: list[tuple[SparkSession, str]] = []

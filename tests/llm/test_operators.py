@@ -661,6 +661,71 @@ def test_pieces_in_parts_and_caches(monkeypatch):
     assert P.Surfaces(path).decode(np.array(library.encode(text), np.int32)).decode() == text.replace("▁", " ")
 
 
+def test_idle_workers_give_their_model_back(monkeypatch):
+    import time
+
+    from barloom.llm import common as C
+
+    made = []
+
+    @C.tidy
+    def user(batches):
+        model = C.held_model("m", lambda: made.append(1) or [len(made)])
+        for b in batches:
+            yield model[0] + b
+
+    @C.tidy
+    def other(batches):
+        yield from batches
+
+    def gone():
+        until = time.monotonic() + 20
+        while C._MODEL and time.monotonic() < until:
+            list(other([1]))  # tasks of other operators don't hold it
+            time.sleep(0.02)
+        return not C._MODEL
+
+    monkeypatch.setattr(C, "IDLE", 0.3)
+    C._MODEL.clear()
+    assert list(user([1, 2])) == [2, 3] and gone()
+    # A task that comes soon finds the model, and one that lasts longer than IDLE keeps it.
+    list(user([1]))
+    running = user([1, 2])
+    assert next(running) == 3
+    time.sleep(0.6)
+    assert C._MODEL and len(made) == 2
+    assert list(running) == [4] and gone()
+    # Failed and abandoned tasks hold nothing either.
+    running = user([1, 2])
+    next(running)
+    running.close()
+    assert gone() and len(made) == 3
+
+
+def test_idle_spark_workers_hold_no_pieces(spark):
+    import time
+
+    import public_tokenizers
+
+    from barloom.llm.pieces import encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert encode(odd(spark, base()).repartition(4), path).count() == len(base())
+    time.sleep(3)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from barloom.llm import common
+
+        for _ in batches:
+            time.sleep(0.5)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._MODEL)], pa.int64())})
+
+    rows = spark.range(4, numPartitions=4).mapInArrow(held, "n long").collect()
+    assert [r.n for r in rows] == [0] * 4
+
+
 def test_subsequence_kernel():
     from itertools import combinations
 

@@ -31,30 +31,24 @@ def to_bool(c: Column, text: bool = False) -> Column:
 
 def to_text(c: Column) -> Column:
     """A number as text: integers without a point, the shortest digits otherwise, an exponent from 1e6 on or under 1e-4."""
-    c = clean(c)
-    java = c.cast("string")
-    mantissa = F.regexp_extract(java, "^-?([0-9.]+)", 1)
-    digits = F.regexp_replace(F.regexp_replace(mantissa, "\\.", ""), "^0+|0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    power = F.coalesce(F.nullif(F.regexp_extract(java, "E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    point = F.length(F.substring_index(mantissa, ".", 1))
-    lead = F.length(F.regexp_extract(F.regexp_replace(mantissa, "\\.", ""), "^(0*)", 1))
-    # Value = 0.digits * 10 ** e
-    e = F.when(c == 0, F.lit(1)).otherwise(power + point - lead)
-    n = F.length(digits)
-    plain = (
-        F.when(e <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e), digits))
-        .when(n <= e, F.concat(digits, F.repeat(F.lit("0"), e - n)))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), e), F.lit("."), F.substr(digits, e + 1, n)))
-    )
-    x = e - 1
-    exponent = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(x).cast("string"), 2, "0"))
-    long_ = F.concat(
-        F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2), n))).otherwise(F.lit("")), F.lit("e"), exponent
+    # A lambda holds the number: Spark writes a column's code out at every use, and the JVM runs methods over 8,000 bytes uncompiled
+    return F.coalesce(F.transform(F.array(clean(c)), _digits)[0], F.lit("na"))
+
+
+def _digits(c: Column) -> Column:
+    a = F.abs(c)
+    java = c.cast("string")  # d.dEx under 1e-3 and from 1e7 on
+    plain = F.when(F.rint(c) == c, c.cast("long").cast("string")).otherwise(java)
+    millions = F.concat(F.regexp_replace(F.rtrim(F.translate(java, ".", ""), F.lit("0")), "^(-?[0-9])(?=[0-9])", "$1."), F.lit("e+06"))
+    small = F.regexp_replace(java, "([0-9])\\.(0|([0-9]+))E-4", "0.000$1$3")
+    mark = F.when(a < 1e-9, "e-").when(a < 1, "e-0").when(a < 1e10, "e+0").otherwise("e+")
+    return (
+        F.when((c == 0) | (a >= 1e-3) & (a < 1e6), plain)
+        .when((a >= 1e-4) & (a < 1), small)
+        .when((a >= 1) & (a < 1e7), millions)
+        .when(a == float("inf"), F.when(c < 0, "-Inf").otherwise("+Inf"))
+        .otherwise(F.regexp_replace(java, F.lit("(\\.0)?E-?"), mark))
     )
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    text = F.concat(sign, F.when((c != 0) & ((x < -4) | (x >= 6)), long_).otherwise(plain))
-    return F.coalesce(text, F.lit("na"))
 
 
 DEFAULTS = {"int": 0, "float": 0.0, "bool": False, "string": "", "color": "", "time": 0, "session": "", "symbol": "", "source": None}

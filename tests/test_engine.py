@@ -135,6 +135,25 @@ def test_text_and_time(spark):
     assert X.timestamp(2024, 14, 1) == X.timestamp(2025, 2, 1)
 
 
+def test_text_of_numbers_with_exponents(spark):
+    texts = {
+        1e100: "1e+100", -2.5e-120: "-2.5e-120", float("inf"): "+Inf", float("-inf"): "-Inf", float("nan"): "na", 999999.5: "999999.5", -1000000.5: "-1.0000005e+06", 9999999.0: "9.999999e+06",
+        1e7: "1e+07", -1.25e10: "-1.25e+10", 0.001: "0.001", -0.00015: "-0.00015", 1e-4: "0.0001", 9.5e-5: "9.5e-05", -1e-9: "-1e-09", 1e-10: "1e-10",
+    }
+    df = spark.createDataFrame([(v,) for v in texts], "v double").select(X.to_text(F.col("v")).alias("t"))
+    assert [r.t for r in df.collect()] == list(texts.values())
+
+
+def test_text_names_its_number_once(spark):
+    """Else the code of one select outgrows what the JVM compiles, and every row is interpreted."""
+    wide = spark.range(3).select(*(X.to_text(F.col("id") * 7919 + i).alias(f"t{i}") for i in range(4)))
+    run = wide._jdf.queryExecution()
+    assert run.optimizedPlan().toString().count("7919") == 4
+    stages = run.debug().codegenToSeq()
+    assert all(0 < stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+    assert [r.t3 for r in wide.collect()] == ["3", "7922", "15841"]
+
+
 def test_array_errors(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "a array<double>")
     with pytest.raises(Exception, match="out of range"):
